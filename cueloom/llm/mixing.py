@@ -44,33 +44,39 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epoc
     return ranked.withColumn("target", F.least(F.col("_cap"), F.coalesce(level * F.col("weight"), F.col("_cap")))).select("source", "source_size", "weight", "target")
 
 
-def apportion(table: DataFrame, votes: str, seats: Column, quota: str = "quota") -> DataFrame:
-    """Deal seats to the rows by the highest quotients votes / (2q + 1): ties go to the first source by name.
+def apportion(table: DataFrame, votes: str, seats: str, by: str) -> DataFrame:
+    """Deal each group's seats to its rows by the highest quotients votes / (2q + 1), as quota; ties go to the first source by name.
 
-    A row's seat q has its quotient above 1/x exactly while (2q + 1) / votes < x. With S rows and V votes in all,
-    x = (2 * seats - S) / V gives at most all seats, and the rest are at most S more, found among the next
-    quotients by one sort.
+    table has source, votes, and for each group (by) the number of seats. A row's seat q has its quotient above 1/x
+    exactly while (2q + 1) / votes < x. With S rows and V votes in all, x = (2 * seats - S) / V gives at most all
+    seats, and the rest are at most S more, found among the next quotients by one sort. Dealing more seats never
+    takes one away, so differences between growing groups are quotas too.
     """
-    everything = Window.partitionBy()
-    t = table.withColumn("_seats", seats).withColumn("_votes", F.sum(votes).over(everything)).withColumn("_rows", F.count(F.when(F.col(votes) > 0, 1)).over(everything))
-    low = F.greatest(2 * F.col("_seats") - F.col("_rows"), F.lit(0)) / F.col("_votes")
-    high = (2 * F.col("_seats") + F.col("_rows")) / F.col("_votes")
-    sure = F.when(F.col(votes) > 0, F.floor((low * F.col(votes) + 1) / 2)).otherwise(F.lit(0)).cast("long")
-    t = t.withColumn("_sure", F.when(2 * F.col("_seats") > F.col("_rows"), sure).otherwise(F.lit(0)).cast("long"))
-    t = t.withColumn("_rest", F.col("_seats") - F.sum("_sure").over(everything))
+    group = Window.partitionBy(by)
+    t = table.withColumn("_votes", F.sum(votes).over(group)).withColumn("_rows", F.count(F.when(F.col(votes) > 0, 1)).over(group))
+    low = (2 * F.col(seats) - F.col("_rows")) / F.col("_votes")
+    high = (2 * F.col(seats) + F.col("_rows")) / F.col("_votes")
+    sure = F.when((F.col(votes) > 0) & (low > 0), F.floor((low * F.col(votes) + 1) / 2)).otherwise(F.lit(0)).cast("long")
+    t = t.withColumn("_sure", sure).withColumn("_rest", F.col(seats) - F.sum("_sure").over(group))
     more = t.where(F.col(votes) > 0).withColumn("_q", F.explode(F.sequence(F.col("_sure"), F.greatest(F.col("_sure"), F.ceil((high * F.col(votes) + 1) / 2)))))
-    order = Window.orderBy((F.col(votes) / (2 * F.col("_q") + 1)).desc(), F.col("source").asc_nulls_last(), "_q")
-    won = more.withColumn("_n", F.row_number().over(order)).where("_n <= _rest").groupBy(F.struct("source").alias("_key")).agg(F.count(F.lit(1)).alias("_won"))
-    return t.join(F.broadcast(won), F.struct("source").eqNullSafe(F.col("_key")), "left").withColumn(quota, F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_seats", "_votes", "_rows", "_sure", "_rest", "_key", "_won")
+    order = Window.partitionBy(by).orderBy((F.col(votes) / (2 * F.col("_q") + 1)).desc(), F.col("source").asc_nulls_last(), "_q")
+    won = more.withColumn("_n", F.row_number().over(order)).where("_n <= _rest").groupBy(by, "source").agg(F.count(F.lit(1)).alias("_won"))
+    every = t.select(by, "source", F.col("_sure").alias("_won")).unionByName(won.select(by, "source", "_won"))
+    return every.groupBy(by, "source").agg(F.sum("_won").alias("quota"))
 
 
 def plan_sources(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int, block: int, n_shards: int) -> DataFrame:
-    """One row per source with its target, its blocks, and its quota of blocks in each output shard."""
+    """One row per source: source_size, target, blocks, quota of blocks in all and shard_quotas, those of each output shard."""
     t = targets(sizes, weights, share, max_epochs)
-    blocks = F.round(F.sum("target").over(Window.partitionBy()) / (block * n_shards)).cast("long")
-    t = apportion(t, "target", blocks, "shard_quota")
+    houses = t.withColumn("_shard", F.explode(F.sequence(F.lit(1), F.lit(n_shards))))
+    seats = F.round(F.sum("target").over(Window.partitionBy("_shard")) / block * F.col("_shard") / n_shards).cast("long")
+    dealt = apportion(houses.withColumn("_seats", seats), "target", "_seats", "_shard")
+    so_far = F.transform(F.array_sort(F.collect_list(F.struct("_shard", "quota"))), lambda s: s["quota"])
+    dealt = dealt.groupBy("source").agg(F.max("quota").alias("quota"), so_far.alias("_so_far"))
+    dealt = dealt.withColumn("shard_quotas", F.transform("_so_far", lambda q, i: q - F.when(i > 0, F.get("_so_far", i - 1)).otherwise(0)))
     t = t.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    return t.withColumn("quota", F.least(F.col("shard_quota") * n_shards, F.col("blocks") * max_epochs))
+    joined = t.join(dealt.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    return joined.withColumn("quota", F.least("quota", F.col("blocks") * max_epochs)).drop("_source", "_so_far")
 
 
 #: Multipliers of the block permutation; one that shares no factor with the number of blocks is used.
