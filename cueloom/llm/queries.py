@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import compression_bands, mixing, mpeg, partenum, secrets, sharding, url_filter
+from cueloom.llm import compression_bands, lattice_lm, mixing, mpeg, packing, partenum, quality_bayes, secrets, sharding, url_filter
 
 #: Rows of text in one Arrow batch, which bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 1000
@@ -44,6 +44,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keep = {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(text.cast("binary"))}
@@ -51,12 +57,23 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice_lm.score_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op7_byte_shards, op9_compression_bands)
+    f.__name__: f
+    for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm)
 }
 
 ORACLE_SQL: dict[str, str] = {}
