@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from cueloom.llm.textscan import Slice, shingles, slices
 
 #: (texts of at least so many bytes, lowest and highest allowed ratio of compressed to raw bytes).
-DOCUMENT_BANDS = [(0, 0.0, 9.0), (128, 0.22, 1.05), (512, 0.16, 0.85), (2048, 0.12, 0.75), (8192, 0.08, 0.70), (65536, 0.04, 0.65)]
+DOCUMENT_BANDS = [(0, 0.0, 9.0), (128, 0.30, 1.05), (512, 0.28, 0.85), (2048, 0.25, 0.75), (8192, 0.20, 0.70), (65536, 0.15, 0.65)]
 #: The same for fixed chunks; a text fails when more than MAX_BAD_CHUNKS of its whole chunks do.
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.12, 0.75)
+CHUNK_BAND = (0.20, 0.75)
 MAX_BAD_CHUNKS = 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True

@@ -354,10 +354,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component, the document with the smallest doc_id stays.
 
-    Texts without words all stay. Of rows that repeat a doc_id within a component, one stays.
+    Texts without words all stay. Of rows that repeat both doc_id and text, one stays; rows without a doc_id
+    cannot be named by the result of the join, and stay.
     """
-    found = jaccard_components(docs)
-    dropped = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    few = freeze(dropped, "dropped")
-    kept = docs.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "doc_id", "left_anti")
-    return kept
+    found = freeze(jaccard_components(docs), "components")
+    dropped = freeze(found.where("not (doc_id <=> component_id) and doc_id is not null").select("doc_id").distinct(), "dropped")
+    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
+    repeated = freeze(found.where("component_size > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
