@@ -148,18 +148,18 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     key = ["doc_id", "_hash"]
     tagged = docs.withColumn("_hash", F.xxhash64("text", "source"))
-    same = Window.partitionBy(*key).orderBy(F.lit(1))
-    chosen = choose_blocks(tagged, keep=("doc_id", "_hash"), **options).where("taken > 0").select("doc_id", "_hash", "size", "taken", "picks")
-    chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("taken", F.to_json("picks"))))
-    numbered = tagged.withColumn("_n", F.row_number().over(same))
-    mixed = numbered.join(chosen.withColumnsRenamed({c: f"_c{c}" for c in [*key, "_n"]}), F.struct(*key, "_n").eqNullSafe(F.struct(*[f"_c{c}" for c in [*key, "_n"]])))
-    rounds = F.array_max(F.transform("picks", lambda p: p["rounds"]))
+    numbered = tagged.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    chosen = choose_blocks(tagged, keep=("doc_id", "_hash"), **options).where("taken > 0").select("doc_id", "_hash", "size", "picks")
+    chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json("picks"))))
+    chosen = chosen.withColumnsRenamed({c: f"_c_{c}" for c in chosen.columns})
+    mixed = numbered.join(chosen, F.struct(*key, "_n").eqNullSafe(F.struct(*[f"_c_{c}" for c in (*key, "_n")])))
+    rounds = F.array_max(F.transform("_c_picks", lambda p: p["rounds"]))
     mixed = mixed.withColumn("_round", F.explode(F.sequence(F.lit(1).cast("long"), rounds)))
-    mine = F.filter("picks", lambda p: p["rounds"] >= F.col("_round"))
-    mixed = mixed.withColumn("_mine", mine).withColumn("_len", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, p: a + p["length"]))
+    mixed = mixed.withColumn("_mine", F.filter("_c_picks", lambda p: p["rounds"] >= F.col("_round"))).withColumn("_len", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, p: a + p["length"]))
     words = F.split(F.regexp_replace("text", r"^" + SPACES + "|" + SPACES + "$", ""), SPACES)
-    part = F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
-    mixed = mixed.withColumn("text", F.when(F.col("_len") == F.col("size"), F.col("text")).otherwise(part))
+    part = F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    mixed = mixed.withColumn("_words", F.when(F.col("_len") < F.col("_c_size"), words))
+    mixed = mixed.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(part))
     if "n_chars" in columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return mixed.select(*columns)

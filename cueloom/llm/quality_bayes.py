@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze
@@ -111,12 +111,12 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _concentration(spread: Column, mean: Column, n: Column, squares: Column, groups: Column) -> Column:
+def concentration(spread: float | None, mean: float, n: float | None, squares: float | None, groups: int) -> float:
     """How many documents a group's prior is worth, from the spread of the groups' means (method of moments), between 1 and 10000."""
-    within = mean * (1 - mean)
-    rho = (spread - within * (groups - 1)) / F.nullif(within * (n - squares / n - (groups - 1)), F.lit(0.0))
-    rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.0)), F.lit(1e-4)), F.lit(0.5))
-    return 1 / rho - 1
+    within, n = mean * (1 - mean), n or 0
+    scale = within * (n - (squares or 0) / n - (groups - 1)) if n else 0.0
+    rho = ((spread or 0.0) - within * (groups - 1)) / scale if scale > 0 else 0.0
+    return 1 / min(max(rho, 1e-4), 0.5) - 1
 
 
 def site_posteriors(evidence: DataFrame, prior: float) -> DataFrame:
@@ -130,19 +130,14 @@ def site_posteriors(evidence: DataFrame, prior: float) -> DataFrame:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     whole = hosts.agg(F.coalesce(F.sum("hs") / F.sum("hn"), F.lit(prior)).alias("mean"), F.sum("hn").alias("n"), F.sum(F.col("hn") * F.col("hn").cast("double")).alias("squares"), F.count(F.lit(1)).alias("groups"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("ss")).first()
     mean = whole["mean"]
-    spread = (whole["ss"] or 0.0) - (whole["n"] or 0) * mean * mean
-    host_m = _value(evidence.sparkSession, _concentration(*[F.lit(float(x or 0)) for x in (spread, mean, whole["n"], whole["squares"], whole["groups"])]))
+    host_m = concentration((whole["ss"] or 0.0) - (whole["n"] or 0) * mean * mean, mean, whole["n"], whole["squares"], whole["groups"])
     hosts = hosts.withColumn("host_posterior", (F.col("hs") + host_m * mean) / (F.col("hn") + host_m)).withColumnRenamed("host", "_host")
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
     inner = both.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("hs") / F.col("hn")) ** 2).alias("spread"), F.sum(F.col("n") * F.col("n").cast("double") / F.col("hn")).alias("squares"), F.count(F.lit(1)).alias("groups")).first()
-    path_m = _value(evidence.sparkSession, _concentration(*[F.lit(float(x or 0)) for x in (inner["spread"], mean, whole["n"], inner["squares"], (inner["groups"] or 0) - (whole["groups"] or 0) + 1)]))
+    path_m = concentration(inner["spread"], mean, whole["n"], inner["squares"], inner["groups"] - whole["groups"] + 1)
     return both.select("host", "path", "n", "host_posterior", ((F.col("s") + path_m * F.col("host_posterior")) / (F.col("n") + path_m)).alias("path_posterior"))
 
 
-def _value(spark: SparkSession, c: Column) -> float:
-    return float(spark.range(1).select(c.alias("x")).first()["x"])
-
-
 def _join_sites(rows: DataFrame, sites: DataFrame, host: str, path: str) -> DataFrame:
     """Rows with their site's posteriors: broadcast while sites are few, else salted."""
     sites = freeze(sites, "sites")
@@ -179,16 +174,21 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     like any other (no words); repeated rows are judged alike; without labels only the sites' even odds are left
     and every document stays. Texts are never shuffled unless there are more than BROADCAST_PATHS sites.
     """
+    rows, names = _judged(docs, labels, host, path, keep, threshold)
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "evidence", "host_posterior", "path_posterior", "probability", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: tuple[str, ...], threshold: float) -> tuple[DataFrame, list[str]]:
+    """The judged rows with their keep columns under the returned names, which clash with nothing."""
     weights, _, sites = fit(docs, labels, host, path)
     names = [f"_k{i}" for i in range(len(keep))]
     scored = _prepared(docs, [*map(F.col, keep), F.col(host), F.col(path)], [*names, "_h", "_p"], weights).withColumnRenamed("_new", "evidence")
     joined = _join_sites(scored, sites, "_h", "_p")
     probability = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior")))))
-    out = joined.withColumn("probability", probability).withColumn("kept", F.col("probability") >= threshold)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "evidence", "host_posterior", "path_posterior", "probability", "kept")
+    return joined.withColumn("probability", probability).withColumn("kept", F.col("probability") >= threshold), names
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    columns = tuple(docs.columns)
-    return judge(docs, labels, host, path, keep=columns).where("kept").select(*columns)
+    rows, names = _judged(docs, labels, host, path, tuple(docs.columns), THRESHOLD)
+    return rows.where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
