@@ -113,7 +113,7 @@ def segment_stats(segments: DataFrame) -> DataFrame:
 def slot_with_lead(segments: DataFrame, most: float = 0.35) -> DataFrame:
     """Add slot_s: a segment's own time and up to most seconds of the silence after it."""
     following = F.lead("start_s").over(Window.partitionBy("video_id").orderBy("idx"))
-    lead = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(most), following - F.col("end_s"))), F.lit(0.0))
+    lead = F.when(following > F.col("end_s"), F.least(F.lit(most), following - F.col("end_s"))).otherwise(0.0)
     return segments.withColumn("slot_s", timing.slot(F.col("start_s"), F.col("end_s")) + lead)
 
 

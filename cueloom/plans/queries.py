@@ -107,7 +107,7 @@ def is_untranslated(spark: SparkSession, sf: str) -> DataFrame:
     return _segments(spark, sf).select("video_id", "idx", _flag(T.is_untranslated(F.col("zh"), F.col("en"))).alias("value"))
 
 
-_SLOTS = "slots AS (SELECT video_id, cue_no AS idx, greatest(5e-2, end_s-start_s) + coalesce(greatest(0e0, least(35e-2, nxt-end_s)), 0e0) AS slot_s FROM (SELECT *, lead(start_s) OVER (PARTITION BY video_id ORDER BY cue_no) AS nxt FROM cues))"
+_SLOTS = "slots AS (SELECT video_id, cue_no AS idx, greatest(5e-2, end_s-start_s) + CASE WHEN nxt>end_s THEN least(35e-2, nxt-end_s) ELSE 0e0 END AS slot_s FROM (SELECT *, lead(start_s) OVER (PARTITION BY video_id ORDER BY cue_no) AS nxt FROM cues))"
 
 
 def _trials_with_slots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
