@@ -76,4 +76,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(a[i:i+4], ' ') AS h FROM (SELECT doc_id, a, unnest(generate_series(1, greatest(1, len(a)-4))) AS i FROM w WHERE len(a)>0)),
+n AS (SELECT w.doc_id, count(s.h) AS n FROM w LEFT JOIN s ON s.doc_id=w.doc_id GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.h=y.h AND x.doc_id<>y.doc_id GROUP BY 1,2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id=a JOIN n nb ON nb.doc_id=b WHERE 100*shared >= 80*(na.n+nb.n-shared)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a=r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) AS component_size FROM n JOIN c USING (doc_id)"""
+
+_OP5 = r"""WITH p AS (SELECT page_id, url, strpos(url, '://')>0 AS ok, substr(url, strpos(url, '://')+3) AS rest FROM pages),
+h AS (SELECT page_id, ok, rest, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS qs FROM h),
+c AS (SELECT *, CASE WHEN ok THEN concat(regexp_replace(host, '^(?:www|m|blog)\.', ''), regexp_replace(path, '(?:\.html?|/)+$', ''), CASE WHEN qs<>'' THEN concat('?', qs) ELSE '' END) END AS canon FROM k),
+l AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')),
+j AS (SELECT c.*, l.canon IS NOT NULL AS listed FROM c LEFT JOIN l ON l.canon=c.canon),
+r AS (SELECT *, CASE WHEN (host='example.net' OR ends_with(host,'.example.net')) AND starts_with(path,'/en/') THEN 'example.net/en/' WHEN (host='example.com' OR ends_with(host,'.example.com')) AND starts_with(path,'/de/') THEN 'example.com/de/'
+  WHEN (host='org' OR ends_with(host,'.org')) AND starts_with(path,'/fr/') THEN 'org/fr/' WHEN (host='net' OR ends_with(host,'.net')) AND starts_with(path,'/') THEN 'net/' END AS rule FROM j)
+SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict, listed FROM r"""
+
+#: The others use hashes, checksums, compression, tokenizers or seeded choices that SQL lacks; tests/llm has plain versions.
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": _OP2, "op5_url_filter": _OP5}
