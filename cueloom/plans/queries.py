@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import shared_root
@@ -515,6 +515,12 @@ def match_audio(spark: SparkSession, sf: str) -> DataFrame:
     return quality.match_audio(*_audio(spark, sf)).drop("dur")
 
 
+@register("sorted_candidates", f"{_WITH_AUDIO} SELECT video_id, idx, name, CAST(row_number() OVER (PARTITION BY video_id, idx ORDER BY p, name) AS INT) AS place FROM cands")
+def sorted_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("video_id", "idx").orderBy("priority", "name")
+    return quality.audio_candidates(*_audio(spark, sf)).select("video_id", "idx", "name", F.row_number().over(order).alias("place"))
+
+
 @register("missing_audio", f"{_WITH_AUDIO} SELECT * FROM lost")
 def missing_audio(spark: SparkSession, sf: str) -> DataFrame:
     return quality.missing_audio(*_audio(spark, sf))
