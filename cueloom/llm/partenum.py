@@ -26,6 +26,8 @@ MAX_SEEDS = 8
 PIVOT_ROUNDS = 3
 #: A signature whose keys need more comparisons each than this is dense: its keys sign again under a stricter scheme.
 FEW_PAIRS = 4
+#: Classes of features whose counts outline a set: outlines that differ too much rule a pair out before its sets meet.
+OUTLINE = 256
 #: Differing parts allowed in a group, and parts of a group, of the stricter scheme.
 ALLOWED, PARTS = 3, 6
 #: Representatives up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, a shuffled join does it.
@@ -206,7 +208,10 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _listed(keys: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
     bounds = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=bounds[1:])
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(arrays)))], names=["key", "features"])
+    counts = np.concatenate([np.minimum(np.bincount(a.view(np.uint64) & np.uint64(OUTLINE - 1), minlength=OUTLINE), 32_767).astype(np.int16) for a in arrays])
+    outlines = pa.ListArray.from_arrays(pa.array(np.arange(len(arrays) + 1, dtype=np.int32) * OUTLINE), pa.array(counts))
+    features = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(arrays)))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.diff(bounds).astype(np.int64)), outlines, features], names=["key", "size", "outline", "features"])
 
 
 _NO_ID = -(1 << 63)
@@ -221,7 +226,7 @@ def _resigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rarest(sets: DataFrame) -> DataFrame:
     """(sig, key, size, pos): the rarest features of each set in order, as many as two linked sets must share one of."""
-    rows = sets.select("key", F.size("features").alias("_size"), F.explode("features").alias("sig"))
+    rows = sets.select("key", F.col("size").alias("_size"), F.explode("features").alias("sig"))
     often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_often"))
     ranked = rows.join(often, "sig").groupBy("key").agg(F.first("_size").alias("_size"), F.array_sort(F.collect_list(F.struct("_often", "sig"))).alias("_all"))
     prefix = F.col("_size") - F.ceil(F.col("_size") * NUMERATOR / DENOMINATOR) + 1
@@ -245,17 +250,33 @@ class _Sets:
         count = ids.count()
         if count or self.table is None:
             texts = self.docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_id"), "left_semi")
-            more = freeze(texts.mapInArrow(_shingled, "key long, features array<long>"), "sets")
+            more = freeze(texts.mapInArrow(_shingled, "key long, size long, outline array<short>, features array<long>"), "sets")
             self.table = more if self.table is None else self.table.unionByName(more)
         return self.table
 
 
+def _of_pairs(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with the sizes and a column of both their sets. Only sets that some pair names are shuffled, while their keys are few enough to broadcast."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    named = table.select("key", "size", column)
+    if pairs.count() <= BROADCAST_IDS // 2:
+        named = named.join(F.broadcast(keys), "key", "left_semi")
+    left, right = (named.select(F.col("key").alias(c), F.col("size").alias(f"size_{c}"), F.col(column).alias(f"_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b")
+
+
 def _verify(pairs: DataFrame, sets: _Sets) -> DataFrame:
-    """Of a written table of candidate pairs (a, b) of keys, those whose sets are similar enough, by exact intersection of whole sets."""
+    """Of a written table of candidate pairs (a, b) of keys, those whose sets are similar enough.
+
+    Two sets differ in at least as many features as their outlines' counts do, which rules most pairs out; the
+    sets of the others are intersected whole.
+    """
     table = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    left, right = (table.select(F.col("key").alias(c), F.col("features").alias(f"_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
-    return freeze(both.where(DENOMINATOR * F.col("_both") >= NUMERATOR * (F.size("_a") + F.size("_b") - F.col("_both"))).select("a", "b").distinct(), "links")
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda n, x: n + x)
+    near = _of_pairs(pairs, table, "outline").where(apart * (NUMERATOR + DENOMINATOR) <= (F.col("size_a") + F.col("size_b")) * (DENOMINATOR - NUMERATOR))
+    near = freeze(near.select("a", "b"), "near")
+    both = _of_pairs(near, table, "features").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    return freeze(both.where(DENOMINATOR * F.col("_both") >= NUMERATOR * (F.col("size_a") + F.col("size_b") - F.col("_both"))).select("a", "b").distinct(), "links")
 
 
 def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -325,7 +346,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if hard is None or hard.isEmpty():
                 break
             own = sets.of(hard).join(hard, "key", "left_semi").dropDuplicates(["key"])
-            again = own.mapInArrow(_resigned, "sig long, key long") if level == 0 else _rarest(own)
+            again = own.select("key", "features").mapInArrow(_resigned, "sig long, key long") if level == 0 else _rarest(own)
             again = again.withColumn("_low", F.min("key").over(same)).withColumn("_high", F.max("key").over(same)).where("_low < _high").drop("_low", "_high").distinct()
             buckets, level = freeze(again, "buckets"), level + 1
         members = _open(buckets, comps)
