@@ -23,12 +23,17 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-def freeze(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
+def freeze(df: DataFrame, name: str = "table", compression: str = "zstd", few: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
+    few is for tables that are small for their number of partitions: they are written in no more files than the
+    cluster has cores, so that many steps leave no crowd of tiny files.
+
     What follows starts from the written rows, so a lost executor costs no recomputation of what lies before,
     and values such as row numbers stay as they were written.
     """
     path = f"{shared_root(df.sparkSession)}/cueloom/{uuid.uuid4().hex}/{name}"
+    if few:
+        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
