@@ -30,13 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours is summed before it is dealt out, and Spark splits a node with very many edges over tasks.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = freeze(pairs, "edges")
+    pairs = freeze(pairs, "edges", few=True)
     mark = None
     for _ in range(MAX_ROUNDS):
         seen = pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         if mark == tuple(seen) or not seen["n"]:
             break
         mark = tuple(seen)
-        pairs = freeze(_stars(pairs), "stars")
+        pairs = freeze(_stars(pairs), "stars", few=True)
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)

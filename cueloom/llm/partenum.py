@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,12 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: A set whose features leave more parts empty than a scheme allows for also signs with the next seed, up to so many.
 MAX_SEEDS = 8
-#: Rounds that compare each key with one pivot of each of its signatures.
-PIVOT_ROUNDS = 3
-#: A signature whose keys need more comparisons each than this is dense: its keys sign again under a stricter scheme.
+#: Further rounds that compare each key with one pivot of each of its signatures, while any is dense.
+PIVOT_ROUNDS = 2
+#: A signature whose keys need more comparisons each than this is dense: its keys are compared by their rarest features.
 FEW_PAIRS = 4
 #: Classes of features whose counts outline a set: outlines that differ too much rule a pair out before its sets meet.
 OUTLINE = 256
-#: Differing parts allowed in a group, and parts of a group, of the stricter scheme.
-ALLOWED, PARTS = 3, 6
 #: Representatives up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, a shuffled join does it.
 BROADCAST_IDS = 200_000
 
@@ -113,38 +110,6 @@ def signatures(features: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def strict_signatures(features: np.ndarray) -> np.ndarray:
-    """Signatures of a set with two levels of parts: each covers half of the parts of a group, so it holds many features.
-
-    With n1 groups and at most k differing features, some group has at most k // n1 of them, hence as many differing
-    parts at most; all subsets that leave out so many parts of a group are enumerated, and one of them agrees.
-    """
-    choices = _choices(PARTS, PARTS - ALLOWED)
-    own, found = band(len(features)), []
-    below = own > 0 and edges(own - 1)[1] * DENOMINATOR >= len(features) * NUMERATOR
-    place = features >> np.uint64(32)
-    scrambled = mix(features ^ np.uint64(0x2545F4914F6CDD1D))
-    for i in (own, own - 1) if below else (own,):
-        groups = -(-(most_differing(i) + 1) // (ALLOWED + 1))
-        at = (place * np.uint64(groups * PARTS)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        sums = np.zeros(groups * PARTS, np.uint64)
-        sums[at[first]] = np.add.reduceat(scrambled, first)
-        sums = sums.reshape(groups, PARTS) @ choices
-        tag = np.arange(sums.size, dtype=np.uint64) + np.uint64((i + 1) * 0x100000001B3)
-        found.append(mix(sums.ravel() ^ mix(tag)))
-    return np.concatenate(found)
-
-
-@cache
-def _choices(parts: int, size: int) -> np.ndarray:
-    sets = list(combinations(range(parts), size))
-    chosen = np.zeros((parts, len(sets)), np.uint64)
-    for c, members in enumerate(sets):
-        chosen[list(members), c] = 1
-    return chosen
-
-
 def _key(words: np.ndarray) -> int:
     return int.from_bytes(blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -217,13 +182,6 @@ def _listed(keys: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
 _NO_ID = -(1 << 63)
 
 
-def _resigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, features in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sigs = strict_signatures(features.values.to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.full(len(sigs), key, np.int64))], names=["sig", "key"])
-
-
 def _rarest(sets: DataFrame) -> DataFrame:
     """(sig, key, size, pos): the rarest features of each set in order, as many as two linked sets must share one of."""
     rows = sets.select("key", F.col("size").alias("_size"), F.explode("features").alias("sig"))
@@ -246,7 +204,7 @@ class _Sets:
         if self.table is not None:
             keys = keys.join(self.table, "key", "left_anti")
         ids = self.info.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_id")).select("_id").distinct()
-        ids = freeze(ids, "representatives")
+        ids = freeze(ids, "representatives", few=True)
         count = ids.count()
         if count or self.table is None:
             texts = self.docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_id"), "left_semi")
@@ -274,9 +232,9 @@ def _verify(pairs: DataFrame, sets: _Sets) -> DataFrame:
     table = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda n, x: n + x)
     near = _of_pairs(pairs, table, "outline").where(apart * (NUMERATOR + DENOMINATOR) <= (F.col("size_a") + F.col("size_b")) * (DENOMINATOR - NUMERATOR))
-    near = freeze(near.select("a", "b"), "near")
+    near = freeze(near.select("a", "b"), "near", few=True)
     both = _of_pairs(near, table, "features").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
-    return freeze(both.where(DENOMINATOR * F.col("_both") >= NUMERATOR * (F.col("size_a") + F.col("size_b") - F.col("_both"))).select("a", "b").distinct(), "links")
+    return freeze(both.where(DENOMINATOR * F.col("_both") >= NUMERATOR * (F.col("size_a") + F.col("size_b") - F.col("_both"))).select("a", "b").distinct(), "links", few=True)
 
 
 def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -285,7 +243,7 @@ def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     by_comp = grouped.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_n"))
     by_sig = by_comp.groupBy("sig").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_squares"), F.count(F.lit(1)).alias("_comps"), F.max_by("comp", F.struct("_n", "comp")).alias("_largest"))
     by_sig = by_sig.where("_comps > 1").select("sig", "_all", "_largest", ((F.col("_all") * F.col("_all") - F.col("_squares")) / 2).alias("_pairs"))
-    return freeze(grouped.join(by_sig, "sig"), "open")
+    return freeze(grouped.join(by_sig, "sig"), "open", few=True)
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -298,7 +256,19 @@ def _across(members: DataFrame) -> DataFrame:
     if "pos" in members.columns:
         most = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
         test &= most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("size_a") + F.col("size_b"))
-    return a.join(b, "sig").where(test).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    return a.join(b, "sig").where(test).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
+def _compare(pairs: DataFrame, found: DataFrame, tested: DataFrame, comps: DataFrame, sets: _Sets) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, pairs that were compared, and components, once the pairs that are new among these are compared too."""
+    pairs = freeze(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "candidates", few=True)
+    if pairs.isEmpty():
+        return found, tested, comps
+    more = _verify(pairs, sets)
+    if not more.isEmpty():
+        found = found.unionByName(more)
+        comps = components(found)
+    return found, tested.unionByName(pairs), comps
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -309,9 +279,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     3. Each kept signature compares its keys with a pivot, first the least key, then one of the largest component
        at it. Keys found in one component need no comparison with each other.
     4. Keys of different components are compared one by one where that takes few comparisons for each key. Where a
-       passage that many documents share makes a signature dense, its keys sign again under a stricter scheme,
-       which linked keys share as well, and are compared within that. Keys that are dense there too are compared
-       where they share one of their rarest features, as linked sets do.
+       passage that many documents share makes a signature dense, its keys are compared where they share one of
+       their rarest features, as linked sets do.
     Every linked pair is compared or found connected, so the components are those of all links.
     """
     signed = docs.select("doc_id", "text").mapInArrow(_signed, "sig long, key long, n long")
@@ -322,34 +291,28 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     info = signed.where("n is not null").select(F.col("sig").alias("doc_id"), "key", "n")
     buckets = signed.where("n is null").select("sig", "key", F.col("_low").alias("pivot"))
     sets = _Sets(docs, info)
-    tested = freeze(buckets.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "candidates")
+    tested = freeze(buckets.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "candidates", few=True)
     found = _verify(tested, sets)
-    buckets = freeze(buckets.select("sig", "key").distinct(), "buckets")
+    buckets = freeze(buckets.select("sig", "key").distinct(), "buckets", few=True)
     comps = components(found)
-    level = turn = 0
+    dense = F.col("_pairs") > FEW_PAIRS * F.col("_all")
     members = _open(buckets, comps)
-    while not members.isEmpty():
-        turn += 1
-        dense = F.col("_pairs") > FEW_PAIRS * F.col("_all")
-        if turn < PIVOT_ROUNDS:
-            place = F.struct(F.xxhash64("key", "sig", F.lit(turn)), "key")
-            pivots = members.where("comp = _largest").groupBy("sig").agg(F.min_by("key", place).alias("_p"))
-            pairs = members.where("comp <> _largest").join(pivots, "sig").select(F.least("key", "_p").alias("a"), F.greatest("key", "_p").alias("b")).distinct()
-        else:
-            pairs = _across(members.where(~dense) if level < 2 else members.join(buckets, ["sig", "key"]))
-        pairs = freeze(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        found = found.unionByName(_verify(pairs, sets))
-        tested = tested.unionByName(pairs)
-        comps = components(found)
-        if turn >= PIVOT_ROUNDS:
-            hard = freeze(_open(members.where(dense).select("sig", "key"), comps).select("key").distinct(), "hard") if level < 2 else None
-            if hard is None or hard.isEmpty():
-                break
-            own = sets.of(hard).join(hard, "key", "left_semi").dropDuplicates(["key"])
-            again = own.select("key", "features").mapInArrow(_resigned, "sig long, key long") if level == 0 else _rarest(own)
-            again = again.withColumn("_low", F.min("key").over(same)).withColumn("_high", F.max("key").over(same)).where("_low < _high").drop("_low", "_high").distinct()
-            buckets, level = freeze(again, "buckets"), level + 1
-        members = _open(buckets, comps)
+    for turn in range(1, PIVOT_ROUNDS + 1):
+        if members.where(dense).isEmpty():
+            break
+        place = F.struct(F.xxhash64("key", "sig", F.lit(turn)), "key")
+        pivots = members.where("comp = _largest").groupBy("sig").agg(F.min_by("key", place).alias("_p"))
+        pairs = members.where("comp <> _largest").join(pivots, "sig").select(F.least("key", "_p").alias("a"), F.greatest("key", "_p").alias("b"))
+        found, tested, comps = _compare(pairs, found, tested, comps, sets)
+        members = _open(members.select("sig", "key"), comps)
+    found, tested, comps = _compare(_across(members.where(~dense)), found, tested, comps, sets)
+    hard = freeze(_open(members.where(dense).select("sig", "key"), comps).select("key").distinct(), "hard", few=True)
+    if not hard.isEmpty():
+        rarest = _rarest(sets.of(hard).join(hard, "key", "left_semi").dropDuplicates(["key"]))
+        rarest = rarest.withColumn("_low", F.min("key").over(same)).withColumn("_high", F.max("key").over(same)).where("_low < _high").drop("_low", "_high")
+        rarest = freeze(rarest, "rarest", few=True)
+        left = _open(rarest.select("sig", "key"), comps).select("sig", "key", "comp").join(rarest, ["sig", "key"])
+        found, tested, comps = _compare(_across(left), found, tested, comps, sets)
     return info, comps
 
 
@@ -379,9 +342,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     cannot be named by the result of the join, and stay.
     """
     found = freeze(jaccard_components(docs), "components")
-    dropped = freeze(found.where("not (doc_id <=> component_id) and doc_id is not null").select("doc_id").distinct(), "dropped")
+    dropped = freeze(found.where("not (doc_id <=> component_id) and doc_id is not null").select("doc_id").distinct(), "dropped", few=True)
     kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
-    repeated = freeze(found.where("component_size > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    repeated = freeze(found.where("component_size > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated", few=True)
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
