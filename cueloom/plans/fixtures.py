@@ -1,4 +1,8 @@
-"""Timed-text tables that Spark and DuckDB derive alike from the given tables, so that both sides see the same rows."""
+"""Timed-text tables that Spark and DuckDB derive alike from the given tables, so that both sides see the same rows.
+
+Every document is read whole and becomes a video. Manifests, ledgers and replies lack some rows by rule, because
+missing files, events and lines are what their operators are about; no table that is read loses any.
+"""
 
 from __future__ import annotations
 
