@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "l
     """
     classed = freeze(_prepared(docs, [F.col("doc_id"), F.col(host), F.col(path)], ["doc_id", "host", "path"], None), "classes")
     good = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    labelled = classed.join(good, "doc_id", "left")
+    labelled = classed.join(good.hint("merge"), "doc_id", "left")  # labels may be many: never broadcast
     weights, share = fit_evidence(labelled, F.col("_y"))
     table = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
     evidence = F.aggregate(F.transform("_new", lambda c, f: F.get(F.get(table, f), c)), F.lit(0.0), lambda a, x: a + x)
