@@ -136,7 +136,7 @@ def test_bloom_filter_has_no_false_negatives_when_overfull(spark):
 
 
 def junk(i):
-    return " ".join(["BUY NOW!! $$$"] * 20) if i % 2 else "spam&&& " * 40
+    return " ".join(["BUY NOW!! $$$"] * 20) if i // 2 % 2 else "spam&&& " * 40  # labels cover both kinds
 
 
 def test_classifier_separates_and_shrinks(spark):
