@@ -31,11 +31,16 @@ EDGES: dict[str, list[float]] = {
     "word_bytes": [2.5, 3.5, 4.5, 5.5, 7.0, 10.0, 20.0],
     "words": [0.0, 4.0, 10.0, 50.0, 1000.0],
 }
-#: Added to each count of a class.
+#: Rows that each label's class shares are smoothed with, spread as the classes of all labelled rows are.
 SMOOTHING = 1.0
-#: Documents whose probability of good quality is at least this stay. Features are not independent, so naive Bayes
-#: overstates evidence; a low threshold keeps short clean texts and still rejects nearly all bad ones.
-THRESHOLD = 0.05
+#: Documents whose probability of good quality is at least this stay: the even cut of calibrated odds, whatever the number of labels.
+THRESHOLD = 0.5
+#: Labelled rows are dealt to so many folds by doc_id; each is scored by the others to find how far evidence is overstated.
+FOLDS = 5
+#: Held-out evidence is counted in bins of this width, so what reaches the driver has a bounded size.
+BIN = 0.25
+#: Labels up to which they (about 16 bytes each) are broadcast to the documents they decide; beyond, a shuffled join is used.
+BROADCAST_LABELS = 200_000
 #: (host, path) rows up to which the posteriors (about 60 bytes each) are broadcast; beyond, a salted join is used.
 BROADCAST_PATHS = 50_000
 SALTS = 16
@@ -87,24 +92,54 @@ def _prepared(docs: DataFrame, keep: list[Column], names: list[str], weights: np
     return rows.mapInArrow(_classed(weights), f"{schema}, _new {'array<int>' if weights is None else 'double'}")
 
 
+def _log_ratios(table: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio by feature and class of counts by feature, class and label (0, 1); 0 without both labels."""
+    totals = table[0].sum(axis=0)
+    if not totals.all():
+        return np.zeros(table.shape[:2])
+    sizes = np.array([len(e) + 1 for e in EDGES.values()])[:, None]
+    pooled = (table.sum(axis=2) + 1 / sizes) / (totals.sum() + 1)
+    p = (table + SMOOTHING * pooled[:, :, None]) / (totals + SMOOTHING)[None, None, :]
+    return np.log(p[:, :, 1] / p[:, :, 0])
+
+
+def _lookup(tables: np.ndarray, which: Column) -> Column:
+    """The evidence of a row's array of classes under one of several weights by feature and class."""
+    weights = F.get(F.array(*[F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in table]) for table in tables]), which)
+    return F.aggregate(F.transform("_new", lambda c, f: F.get(F.get(weights, f), c)), F.lit(0.0), lambda a, x: a + x)
+
+
+def evidence_scale(evidence: np.ndarray, good: np.ndarray, rows: np.ndarray, share: float) -> float:
+    """The factor up to 1 under which held-out evidence makes the held-out labels likeliest; 1 without any."""
+    factors = np.linspace(0.02, 1, 99)
+    logits = np.outer(factors, evidence) + math.log(share / (1 - share))
+    loss = (np.logaddexp(0, -logits * np.where(good == 1, 1, -1)) * rows).sum(axis=1)
+    return float(factors[len(factors) - 1 - int(np.argmin(loss[::-1]))])
+
+
 def fit_evidence(classes: DataFrame, good: Column) -> tuple[np.ndarray, float]:
-    """(log likelihood ratio by feature and class, share of good documents) of labelled rows with an array of classes.
+    """(log likelihood ratio by feature and class, share of good documents) of labelled rows with doc_id and an array of classes.
 
-    Counts come from one grouped aggregation over all labelled rows; what reaches the driver has one row per
-    feature, class and label, whatever the input. Without labels of either kind there is no evidence: all ratios
-    are 0, and the share is one half when there are none at all.
+    Features are not independent, so naive Bayes overstates evidence: all ratios are scaled by one factor, fitted to
+    evidence that each fold of labelled rows gets from the other folds. Counts come from one grouped aggregation over
+    all labelled rows and a second one of their held-out evidence; what reaches the driver has one row per fold,
+    feature, class and label, or per bin and label, whatever the input. Without labels of either kind there is no
+    evidence: all ratios are 0, and the share is one half when there are none at all.
     """
-    counts = classes.where(good.isNotNull()).select(good.cast("int").alias("y"), F.posexplode("_new").alias("f", "c")).groupBy("f", "c", "y").count().collect()
-    table = np.full((len(EDGES), max(len(e) for e in EDGES.values()) + 1, 2), SMOOTHING)
+    rows = classes.where(good.isNotNull()).select(good.cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "_new")
+    counts = rows.select("fold", "y", F.posexplode("_new").alias("f", "c")).groupBy("fold", "f", "c", "y").count().collect()
+    table = np.zeros((FOLDS, len(EDGES), max(len(e) for e in EDGES.values()) + 1, 2))
     for r in counts:
-        table[r["f"], r["c"], r["y"]] += r["count"]
-    totals = [sum(r["count"] for r in counts if r["f"] == 0 and r["y"] == y) for y in (0, 1)]
-    share = (totals[1] + 1) / (sum(totals) + 2)
-    if not all(totals):
-        return np.zeros(table.shape[:2]), share
-    sizes = np.array([len(e) + 1 for e in EDGES.values()])[:, None]
-    p = table / (np.array(totals)[None, :] + SMOOTHING * sizes)[:, None, :]
-    return np.log(p[:, :, 1] / p[:, :, 0]), share
+        table[r["fold"], r["f"], r["c"], r["y"]] += r["count"]
+    whole = table.sum(axis=0)
+    totals = whole[0].sum(axis=0)
+    share = float((totals[1] + 1) / (totals.sum() + 2))
+    weights = _log_ratios(whole)
+    if not totals.all():
+        return weights, share
+    held_out = _lookup(np.array([_log_ratios(whole - part) for part in table]), F.col("fold"))
+    bins = rows.groupBy(F.round(held_out / BIN).alias("bin"), "y").count().collect()
+    return weights * evidence_scale(np.array([r["bin"] * BIN for r in bins]), np.array([r["y"] for r in bins]), np.array([r["count"] for r in bins]), share), share
 
 
 def _logit(p: Column) -> Column:
@@ -151,6 +186,11 @@ def _join_sites(rows: DataFrame, sites: DataFrame, host: str, path: str) -> Data
     return rows.join(right, keys.eqNullSafe(F.col("_site")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_site", "_salt", "_salt2")
 
 
+def own_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of labelled documents: null labels and ids are ignored, and a document with several has the lowest."""
+    return labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> tuple[np.ndarray, float, DataFrame]:
     """(document evidence weights, global share of good documents, posteriors of each host and path).
 
@@ -159,21 +199,20 @@ def fit(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "l
     the probability that their own evidence and the global share give.
     """
     classed = freeze(_prepared(docs, [F.col("doc_id"), F.col(host), F.col(path)], ["doc_id", "host", "path"], None), "classes")
-    good = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
+    good = own_labels(labels).withColumnRenamed("quality", "_y")
     labelled = classed.join(good.hint("merge"), "doc_id", "left")  # labels may be many: never broadcast
     weights, share = fit_evidence(labelled, F.col("_y"))
-    table = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
-    evidence = F.aggregate(F.transform("_new", lambda c, f: F.get(F.get(table, f), c)), F.lit(0.0), lambda a, x: a + x)
-    p = F.coalesce(F.col("_y").cast("double"), 1 / (1 + F.exp(-(evidence + math.log(share / (1 - share))))))
+    p = F.coalesce(F.col("_y").cast("double"), 1 / (1 + F.exp(-(_lookup(weights[None], F.lit(0)) + math.log(share / (1 - share))))))
     return weights, share, site_posteriors(labelled.select("host", "path", p.alias("p")), share)
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """Every document's keep columns with evidence (log likelihood ratio), host_posterior, path_posterior, probability and kept.
 
-    The posterior odds are the path's, times the document's likelihood ratio. Null and empty texts have evidence
-    like any other (no words); repeated rows are judged alike; without labels only the sites' even odds are left
-    and every document stays. Texts are never shuffled unless there are more than BROADCAST_PATHS sites.
+    A labelled document's probability is its label. The others' posterior odds are the path's, times the document's
+    likelihood ratio. Null and empty texts have evidence like any other (no words); repeated rows are judged alike;
+    without labels only the sites' even odds are left and every document stays. Kept columns are shuffled only if there
+    are more than BROADCAST_PATHS sites or BROADCAST_LABELS labels.
     """
     rows, names = _judged(docs, labels, host, path, keep, threshold)
     return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "evidence", "host_posterior", "path_posterior", "probability", "kept")
@@ -181,12 +220,15 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: tuple[str, ...], threshold: float) -> tuple[DataFrame, list[str]]:
     """The judged rows with their keep columns under the returned names, which clash with nothing."""
-    weights, _, sites = fit(docs, labels, host, path)
+    own = freeze(own_labels(labels), "labels", few=True)
+    weights, _, sites = fit(docs, own, host, path)
     names = [f"_k{i}" for i in range(len(keep))]
-    scored = _prepared(docs, [*map(F.col, keep), F.col(host), F.col(path)], [*names, "_h", "_p"], weights).withColumnRenamed("_new", "evidence")
-    joined = _join_sites(scored, sites, "_h", "_p")
-    probability = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior")))))
-    return joined.withColumn("probability", probability).withColumn("kept", F.col("probability") >= threshold), names
+    scored = _prepared(docs, [F.col("doc_id"), *map(F.col, keep), F.col(host), F.col(path)], ["_id", *names, "_h", "_p"], weights).withColumnRenamed("_new", "evidence")
+    own = own.select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("double").alias("_y"))
+    own = F.broadcast(own) if own.count() <= BROADCAST_LABELS else own.hint("merge")
+    joined = _join_sites(scored, sites, "_h", "_p").join(own, F.col("_id") == F.col("_labelled"), "left")
+    probability = F.coalesce("_y", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior"))))))
+    return joined.withColumn("probability", probability).withColumn("kept", F.col("probability") >= threshold - 1e-9), names  # even odds may round down
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:

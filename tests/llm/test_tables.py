@@ -136,7 +136,7 @@ def test_bloom_filter_has_no_false_negatives_when_overfull(spark):
 
 
 def junk(i):
-    return " ".join(["BUY NOW!! $$$"] * 20) if i // 2 % 2 else "spam&&& " * 40  # labels cover both kinds
+    return " ".join(["BUY NOW!! $$$"] * 20) if i % 2 else "spam&&& " * 40
 
 
 def test_classifier_separates_and_shrinks(spark):
@@ -153,6 +153,29 @@ def test_classifier_separates_and_shrinks(spark):
     assert quality_bayes.judge(docs, labels.where("false")).where("kept").count() == len(rows)
 
 
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_own_label_decides(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_bayes, "BROADCAST_LABELS", broadcast)
+    rows = [(i, t, "s", "en") for i, t in enumerate(t for t in texts_of(60, 5) if len(t.split()) > 4)] + [(1000 + i, junk(i), "s", "en") for i in range(20)] + [(None, "abc def fed abc cab", "s", "en")]
+    quality = {i: int(i < 1000) for i, *_ in rows if i is not None} | {3: 0, 1003: 1}
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([*quality.items(), (5, 0), (None, 0), (7, None)], "doc_id long, quality int")
+    out = [(r["doc_id"], r["kept"], r["probability"]) for r in quality_bayes.judge(docs, labels).collect()]
+    assert len(out) == len(rows) + 1 and all(p == kept == bool(quality[i] and i != 5) for i, kept, p in out if i is not None)
+    assert quality_bayes.keep_good(docs, labels).count() == sum(kept for _, kept, _ in out)
+
+
+def test_few_labels_reject_bad_documents(spark):
+    small = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    quality, kept = {r["doc_id"]: r["quality"] for r in labels.collect()}, {}
+    for half in (0, 1):
+        judged = quality_bayes.judge(docs, labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half)).join(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) != half), "doc_id", "left_semi")
+        kept |= {r["doc_id"]: r["kept"] for r in judged.collect()}
+    good, bad = ([kept[i] for i in kept if quality[i] == q] for q in (1, 0))
+    assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.95 * len(good), (sum(bad), len(bad), sum(good), len(good))
+
+
 def test_many_sites_take_the_salted_join(docs, spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     few = sorted(map(str, quality_bayes.judge(docs, labels).collect()))
