@@ -120,7 +120,7 @@ def secret_scan(docs: DataFrame, repo: Column | None = None, owner: Column | Non
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """The same rows and columns with every live-looking span of the text replaced by mask.
+    """The same rows and columns with every live-looking span of the text replaced by mask; spans that overlap are masked as one.
 
     Rows without any candidate pass straight through. The others meet their spans by doc_id and text hash, both
     of which may repeat: equal rows have equal spans, so one set of spans per pair is joined.
@@ -129,12 +129,15 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = MAX_OWNERS
     key = F.xxhash64("doc_id", "text").alias("_key")
     tagged = docs.where(has_candidate(F.col("text"))).withColumn("_key", key)
     spans = secret_scan(tagged, keep=("doc_id", "_key"), max_owners=max_owners).where("n_live > 0").groupBy("_key").agg(F.first("live").alias("_live"))
-    at = F.transform("_live", lambda s, i: F.struct(F.when(i == 0, 0).otherwise(F.get(F.transform("_live", lambda x: x["end"]), i - 1)).alias("from"), s["start"].alias("start"), s["end"].alias("end")))
+    by_start = Window.partitionBy("_key").orderBy("start", "end")
+    spans = spans.select("_key", F.explode("_live").alias("_s")).select("_key", "_s.start", "_s.end").withColumn("_from", F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.coalesce(F.col("start") >= F.col("_from"), F.lit(True))
+    place = F.struct("start", F.coalesce("_from", F.lit(0).cast("long")).alias("from"))
+    spans = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.when(opens, place))).alias("_at"), F.max("end").alias("_last"))
     text = F.col("text")
-    parts = F.array_join(F.transform("_at", lambda s: F.concat(F.substr(text, (F.greatest(s["from"], F.lit(0)) + 1).cast("int"), F.greatest(s["start"] - s["from"], F.lit(0)).cast("int")), F.lit(mask))), "")
-    last = F.get(F.transform("_live", lambda s: s["end"]), F.size("_live") - 1)
-    masked = tagged.join(spans, "_key", "left").withColumn("_at", at)
-    masked = masked.withColumn("text", F.when(F.col("_live").isNull(), text).otherwise(F.concat(parts, F.substr(text, (last + 1).cast("int")))))
+    parts = F.array_join(F.transform("_at", lambda s: F.concat(F.substr(text, (s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.lit(mask))), "")
+    masked = tagged.join(spans, "_key", "left")
+    masked = masked.withColumn("text", F.when(F.col("_last").isNull(), text).otherwise(F.concat(parts, F.substr(text, (F.col("_last") + 1).cast("int")))))
     if "n_chars" in columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        masked = masked.withColumn("n_chars", F.when(F.col("_last").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return docs.where(~has_candidate(text)).unionByName(masked.select(*columns))
