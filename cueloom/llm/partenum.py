@@ -335,17 +335,48 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return named.unionByName(alone)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append to rows whose last column is the text: the key of its word sequence, null without words."""
+    for batch in batches:
+        for s in slices(batch.column(batch.num_columns - 1)):
+            words = s.word_hashes(lower=True)
+            own = [words[a:b] for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+            keys = pa.array([_key(w) if len(w) else None for w in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.first, len(s)) for c in range(batch.num_columns)), keys], names=[*batch.schema.names, "_key"])
+
+
+def _winners(info: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc_id, key): of each component the smallest doc_id with the smallest key it has there, and the smallest key without a doc_id."""
+    keyed = info.where("n > 0").groupBy("key", F.col("doc_id").isNull().alias("_nameless")).agg(F.min("doc_id").alias("_first"))
+    keyed = keyed.join(comps, keyed["key"] == comps["node"], "left").select("key", F.coalesce("comp", "key").alias("_comp"), "_nameless", "_first")
+    return keyed.groupBy("_comp", "_nameless").agg(F.min(F.struct("_first", "key")).alias("_w")).select(F.col("_w._first").alias("doc_id"), "_w.key")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of each component, the document with the smallest doc_id stays.
+    """The rows of docs without near copies: of each component, one row with the smallest doc_id stays.
 
-    Texts without words all stay. Of rows that repeat both doc_id and text, one stays; rows without a doc_id
-    cannot be named by the result of the join, and stay.
+    Texts without words all stay. Where a doc_id stands on several rows, each row is told by its doc_id and the key
+    of its words, so a row goes only if its own text is a near copy; of those of one component the one with the
+    smallest key, then text, stays. Rows without a doc_id give way to each other, not to rows with one.
     """
-    found = freeze(jaccard_components(docs), "components")
-    dropped = freeze(found.where("not (doc_id <=> component_id) and doc_id is not null").select("doc_id").distinct(), "dropped", few=True)
-    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
-    repeated = freeze(found.where("component_size > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated", few=True)
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    info, comps = links(docs)
+    winners = freeze(_winners(info, comps), "winners", few=True)
+    named = info.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("key").alias("key"), F.max("n").alias("n"))
+    named = freeze(named, "named", few=True)
+    dropped = freeze(named.where("_rows = 1 and n > 0").join(winners, ["doc_id", "key"], "left_anti").select("doc_id"), "dropped", few=True)
+    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = named.where("_rows > 1").select("doc_id")
+    n_repeated = repeated.count()
+    if not n_repeated and info.where("doc_id is null").isEmpty():
+        return kept
+    repeated = F.broadcast(repeated) if n_repeated <= BROADCAST_IDS else repeated
+    plain = kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    odd = odd.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").alias("_text"))
+    odd = odd.mapInArrow(_keyed, ", ".join(f"`{n}` {t}" for n, t in odd.dtypes) + ", _key long")
+    won = winners.select(F.col("doc_id").alias("_won"), F.col("key").alias("_won_key"))
+    first = Window.partitionBy("_id", "_key").orderBy("_text")
+    once = odd.where("_key is not null").join(won, (F.col("_key") == F.col("_won_key")) & F.col("_id").eqNullSafe(F.col("_won")), "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    odd = odd.where("_key is null").unionByName(once)
+    return plain.unionByName(odd.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]))

@@ -75,6 +75,26 @@ def test_edges_of_the_input(spark):
     assert sorted(str(r["doc_id"]) for r in partenum.drop_near_copies(spark.createDataFrame(rows, schema)).collect()) == ["1", "2", "3", "None"]
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_repeated_ids_lose_near_copies_only(spark, monkeypatch, few):
+    monkeypatch.setattr(partenum, "BROADCAST_IDS", few)
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    lone, twin = " ".join(f"x{i}" for i in range(30)), [" ".join([*(f"y{i}" for i in range(40)), last]) for last in ("a", "b", "c")]
+    rows = [
+        (1, text), (5, near), (5, lone), (6, lone),  # 5 goes with its near copy of 1 only; its other text leads 6
+        (7, twin[0]), (7, twin[1]), (7, twin[1].upper()), (8, twin[2]),  # one row of 7
+        (None, "n1 n2 n3 n4 n5 n6"), (None, "n1 n2 n3 n4 n5 N6"), (9, None), (9, ""), (9, "z"), (None, None),
+    ]
+    docs = spark.createDataFrame([(*r, ["t"]) for r in rows], "doc_id long, text string, tags array<string>").repartition(3)
+    out = partenum.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    kept = [(r["doc_id"], r["text"] and r["text"].lower()) for r in out.collect()]
+    assert sum(i == 7 and t in map(str.lower, twin) for i, t in kept) == 1
+    rest = [(i, t) for i, t in kept if i != 7]
+    assert sorted(rest, key=str) == sorted([(1, text), (5, lone), (None, "n1 n2 n3 n4 n5 n6"), (9, None), (9, ""), (9, "z"), (None, None)], key=str)
+
+
 def test_linked_sets_always_share_signatures():
     rng = np.random.default_rng(4)
     for trial in range(1500):
