@@ -84,7 +84,10 @@ def _synchsafe(b: bytes) -> int:
 
 
 def read_tags(data: bytes) -> tuple[int, int, dict[str, str]]:
-    """Where the audio begins and ends, and the text frames of the ID3v2 and ID3v1 tags."""
+    """Where the audio begins and ends, and the text frames of the ID3v2 and ID3v1 tags.
+
+    ``TAG`` 128 bytes before the end is no ID3v1 tag if the last frame spans it and ends exactly where the stream does.
+    """
     begin, end, tags = 0, len(data), {}
     if data[:3] == b"ID3" and len(data) >= 10:
         size = _synchsafe(data[6:10])
@@ -98,20 +101,30 @@ def read_tags(data: bytes) -> tuple[int, int, dict[str, str]]:
                 parts = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0").split("\0")
                 tags[parts[0] if name == b"TXXX" and len(parts) > 1 else name.decode("latin-1")] = parts[-1]
             at += 10 + length
-    if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG" and not _spanned(data, begin, end - 128):
         end -= 128
         tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     return begin, end, tags
 
 
+def _spanned(data: bytes, begin: int, at: int) -> bool:
+    """Whether the last frame of the whole stream ends with it and begins before at."""
+    first, last = _frames(data, begin, len(data), {})["last"]
+    return first < at and last == len(data)
+
+
 def parse(data: bytes) -> dict:
     """Read a stream whole: frames, exact duration, checksums, variable-bitrate table and seek offsets.
 
     After bytes that are no frame the next header counts only if another header, or the end, stands where its
     frame ends. A frame cut off by the end of the stream is not counted.
     """
-    begin, end, tags = read_tags(data)
-    out = {"n_frames": 0, "samples": 0, "hertz": 0, "bad_crc": 0, "checked": 0, "skipped": 0, "kbits": set(), "seek": [], "bodies": [], "tags": tags, "vbr_frames": None, "vbr_bytes": None, "toc": b"", "first": None}
+    return _frames(data, *read_tags(data))
+
+
+def _frames(data: bytes, begin: int, end: int, tags: dict[str, str]) -> dict:
+    """What parse() returns, of the frames between begin and end."""
+    out = {"n_frames": 0, "samples": 0, "hertz": 0, "bad_crc": 0, "checked": 0, "skipped": 0, "kbits": set(), "seek": [], "bodies": [], "tags": tags, "vbr_frames": None, "vbr_bytes": None, "toc": b"", "first": None, "last": (end, begin)}
     at, synced, crcs = begin, False, {}
     while at + 4 <= end:
         h = header(int.from_bytes(data[at : at + 4], "big"))
@@ -122,7 +135,7 @@ def parse(data: bytes) -> dict:
             out["skipped"] += step
             at, synced = at + step, False
             continue
-        synced = True
+        synced, out["last"] = True, (at, nxt)
         length, samples, hertz, kbit, checked, side = h
         head = 4 + 2 * checked
         if checked and side:

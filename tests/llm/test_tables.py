@@ -209,6 +209,26 @@ def test_parser_resynchronises_and_checks():
     assert mpeg.parse(b"")["n_frames"] == 0 and mpeg.parse(b"ID3")["n_frames"] == 0 and mpeg.parse(stream[:-5])["n_frames"] == clean["n_frames"] - 1
 
 
+def test_payload_with_tag_letters_is_no_tag(spark):
+    lost = []
+    for n in (64, 128, 192, 1408, 1472, 2816, 4096):
+        blank = mpeg.build(bytes(n))
+        bodies = mpeg.parse(blank)["bodies"]
+        inside = len(blank) - 128 - bodies[-1][0]
+        at = inside + (len(bodies) - 1) * mpeg._FRAMES[-1][0]
+        if inside >= 0 and at + 3 <= n:
+            payload = (b"x" * at + b"TAG").ljust(n, b"y")
+            stream = mpeg.build(payload)
+            assert stream[-128:-125] == b"TAG"
+            tagged = stream + b"TAG" + b"title".ljust(125, b"\0")
+            assert mpeg.parse(tagged)["tags"]["TIT2"] == "title"
+            lost += [n for s in (stream, tagged) if mpeg.payload_of(s, mpeg.parse(s)) != payload or "TIT2" in mpeg.parse(stream)["tags"]]
+            text = payload.decode()
+    assert lost == []
+    row = mpeg.audio_columns(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["payload_bytes"], row["payload_sha256"], row["skipped_bytes"]) == (len(text), sha256(text.encode()).hexdigest(), 0)
+
+
 def test_packing_is_gapless_and_tight(docs, spark):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     from tokenizers import Tokenizer
