@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Packing and classification cannot be said in SQL; tests/llm compares run() with a plain version.
+#: Packing and classification cannot be said in SQL; no test compares run() with a plain version yet, tests/llm only runs the stages.
 ORACLE_SQL: str | None = None
 
 
