@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 from random import Random
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze
+from cueloom.llm.textscan import Slice, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -25,144 +25,137 @@ SHARD_PIECES = 4000
 ISLANDS = 3
 #: Stages of evolution; after each, every island's best solution also moves to the next island of its shard.
 EPOCHS = 2
-POPULATION = 3
-GENERATIONS = 4
+POPULATION = 8
+GENERATIONS = 40
 #: Bins filled less than this share are opened again and packed together across shards, until one shard is left or so many times.
 WELL_FILLED = 0.97
 REPACKS = 3
-#: Parts between spaces, and words and marks in them, of which a worker remembers the ids; half are dropped when there are more.
-REMEMBERED = 500_000
+#: Parts of words whose ids a worker remembers (about 25 bytes each); longer ones than PART_BYTES are tokenised wherever they stand.
+REMEMBERED = 1_000_000
+PART_BYTES = 64
+#: New parts are tokenised so many at a time.
+TOGETHER = 2000
 
+_PLAIN, _MARK, _LETTER = (np.zeros(256, bool) for _ in range(3))
+_PLAIN[97:123] = True
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:127] = ~_LETTER[33:127]
 
-class _Memory(dict):
-    """The ids of strings seen lately: when it is full, those not used since it was last full are forgotten."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict[str, bytes] = {}
+def _parts(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, whether it must stand alone) of the parts of a slice's words that are tokenised apart.
 
-    def missing(self, strings: set[str]) -> list[str]:
-        """Those of strings that must be worked out; what was remembered from before is brought back."""
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        new = strings - self.keys()
-        back = new & self.older.keys()
-        self.update(zip(back, map(self.older.__getitem__, back), strict=True))
-        return list(new - back)
-
-
-#: Parts of these characters alone are cut into words and marks here, as the tokenizer would; all others are left to it.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: The usual part: one word and marks after it.
-_USUAL = re.compile("([a-zß-öø-ÿ]+)([.,;:!?*$%&#-]*)")
-
-
-def _lowered(text: str) -> str:
-    """The text as the tokenizer lowers it, where that needs no care: Latin-1 without anything like a special token."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else text.lower()
+    The tokenizer cuts at white space, and before a run of marks. So marks at the end of a word (after a letter or
+    digit that is one for sure) are a part of their own, which leaves far fewer different parts. A word that may
+    hold a special token stays whole and is never remembered, as its case matters; nor is a very long part.
+    """
+    d, starts, ends = s.data, s.starts, s.ends
+    solid = np.maximum.accumulate(np.where(_MARK[d], -1, np.arange(len(d))))[ends - 1] + 1 if len(starts) else ends
+    last = d[solid - 1]
+    latin = (solid - starts >= 2) & (d[solid - 2] == 0xC3) & ~np.isin(last, (0x97, 0xB7))
+    cut = (solid > starts) & (solid < ends) & (_LETTER[last] | latin)
+    special = np.zeros(len(starts), bool)
+    special[np.searchsorted(starts, np.flatnonzero((d[:-1] == 60) & (d[1:] == 124)), "right") - 1] = True
+    cut &= ~special
+    at = np.flatnonzero(cut) + 1
+    starts, ends, special = np.insert(starts, at, solid[cut]), np.insert(np.where(cut, solid, ends), at, ends[cut]), np.insert(special, at, False)
+    return starts, ends, special | (ends - starts > PART_BYTES)
 
 
 class WordIds:
-    """Token ids of whole texts, as little-endian 32-bit integers.
-
-    The tokenizer cuts at white space, and then into words, digits and runs of marks, before anything else. So a
-    text's ids are those of its parts between spaces and line ends, and a part's those of its lower-case words and
-    marks. Both are remembered, and new words are tokenised many at a time.
-    """
+    """Token ids of whole texts: those of the texts' parts, of which the ones seen lately are remembered in flat arrays of a bounded size."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.units = _Memory(), _Memory()
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
-        get = self.parts.get
-        found = [list(map(get, p)) for p in split]
-        gaps = [n for n, f in enumerate(found) if not all(f)]
-        self._learn(self.parts.missing({w for n in gaps for w, ids in zip(split[n], found[n], strict=True) if ids is None}))
-        get = self.parts.__getitem__
-        for n in gaps:
-            found[n] = [get(w) if ids is None else ids for w, ids in zip(split[n], found[n], strict=True)]
-        yield from map(b"".join, found)
-
-    def _learn(self, parts: list[str]) -> None:
-        plain, other = {}, []
-        for p in parts:
-            usual = _USUAL.fullmatch(p)
-            if usual:
-                plain[p] = usual.groups() if usual[2] else (p,)
-            elif _PLAIN.fullmatch(p) and "<|" not in p:
-                plain[p] = _UNITS.findall(p.lower())
-            else:
-                other.append(p)
-        new = self.units.missing({u for units in plain.values() for u in units})
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _tokenised(self, parts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part has, and the ids of all in order. Plain parts, of a to z alone, need only the tokenizer's model."""
+        own: list[list[int]] = [[]] * len(parts)
+        model = self.tokenizer.model
+        for n in np.flatnonzero(plain).tolist():
+            own[n] = [t.id for t in model.tokenize(parts[n])]
+        rest = np.flatnonzero(~plain).tolist()
+        for i in range(0, len(rest), TOGETHER):
+            some = [parts[n] for n in rest[i : i + TOGETHER]]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            words = np.array(e.word_ids)
-            ends = np.flatnonzero(np.append(words[1:] != words[:-1], True)) + 1
-            if len(ends) != len(some):  # not one word each after all
-                for u in some:
-                    self.units[u] = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            raw, at = np.array(e.ids, "<u4").tobytes(), 0
-            for u, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.units[u] = raw[at:end]
-                at = end
-        get = self.units.__getitem__
-        for p, units in plain.items():
-            self.parts[p] = b"".join(map(get, units))
-        for i in range(0, len(other), 10_000):
-            some = other[i : i + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
+            begins = np.cumsum([len(w) + 1 for w in some])
+            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), begins).tolist()
+            ids = e.ids
+            for n, a, b in zip(rest[i : i + TOGETHER], [0, *cuts[:-1]], cuts, strict=True):
+                own[n] = ids[a:b]
+        return np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(chain.from_iterable(own), np.uint32)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted hashes stand among the remembered ones, and whether they do."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def of(self, s: Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a slice, each row's followed by the end id, and where each row begins."""
+        data = s.data.tobytes()
+        starts, ends, alone = _parts(s)
+        others = np.concatenate([[0], np.cumsum(~_PLAIN[s.data])])
+
+        def tokenised(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b = starts[which], ends[which]
+            return self._tokenised([data[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], others[b] == others[a])
+
+        hashes, place, number = np.unique(s.span_hashes(starts[~alone], ends[~alone], lower=True), return_index=True, return_inverse=True)
+        at, known = self._find(hashes)
+        if not known.all():
+            if len(self.hashes) + len(hashes) > self.remembered or len(self.ids) > 8 * self.remembered:
+                self._forget()
+                known[:] = False
+            counts, ids = tokenised(np.flatnonzero(~alone)[place[~known]])
+            at = np.searchsorted(self.hashes, hashes[~known])
+            self.hashes = np.insert(self.hashes, at, hashes[~known])
+            self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(counts) - counts)
+            self.count = np.insert(self.count, at, counts)
+            self.ids = np.concatenate([self.ids, ids])
+            at, _ = self._find(hashes)
+        first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        first[~alone], count[~alone] = self.first[at][number], self.count[at][number]
+        count[alone], more = tokenised(np.flatnonzero(alone))
+        first[alone] = len(self.ids) + np.cumsum(count[alone]) - count[alone]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        bounds = upto[np.searchsorted(starts, s.offsets)]
+        found = np.concatenate([self.ids, more])[np.arange(upto[-1]) + np.repeat(first - upto[:-1], count)]
+        return np.insert(found, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
 
 _loaded: dict[str, WordIds] = {}
 
 
 def _cut(path: str, capacity: int, end_id: int, keep_ids: bool, n_keep: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
             _loaded[path] = WordIds(path)
         words = _loaded[path]
         for batch in batches:
-            texts = pc.fill_null(batch.column(n_keep), "")
-            at = 0
-            while at < len(texts):
-                some, size, first = [], 0, at
-                while at < len(texts) and (not some or size < 2_000_000):
-                    some.append(texts[at].as_py())
-                    size += len(some[-1])
-                    at += 1
-                rows, starts, lengths, crcs, numbers, ids = [], [], [], [], [], []
-                for row, raw in enumerate(words.of(some), first):
-                    raw += end
-                    for n, i in enumerate(range(0, len(raw), 4 * capacity)):
-                        piece = raw[i : i + 4 * capacity]
-                        rows.append(row)
-                        numbers.append(n)
-                        starts.append(i // 4)
-                        lengths.append(len(piece) // 4)
-                        crcs.append(zlib.crc32(piece))
-                        ids.append(np.frombuffer(piece, "<i4")) if keep_ids else None
-                take = pa.array(rows, pa.int64())
+            for s in slices(batch.column(n_keep)):
+                ids, bounds = words.of(s, end_id)
+                sizes = np.diff(bounds)
+                many = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(s)), many)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = number * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                begin = bounds[row] + start
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                take = pa.array(row + s.first)
                 columns = [batch.column(c).take(take) for c in range(n_keep)]
-                columns += [pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
+                columns += [pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
                 names = [f"_k{c}" for c in range(n_keep)] + ["piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
