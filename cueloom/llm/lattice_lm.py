@@ -24,8 +24,6 @@ MARK = "▁"
 HEAD_WORDS = 100_000
 #: A task's words are handed on once it has so many different ones.
 FLUSH_WORDS = 1_000_000
-#: A piece of the vocabulary has at most so many characters in the lattice; every piece of the usual files does.
-LONGEST = 16
 #: Words of more characters are scored one by one.
 WIDE = 48
 #: An unknown character counts as a piece of its own with the least piece probability over this many characters.
@@ -93,7 +91,7 @@ def load_pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
-    return ["" if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or len(sp.id_to_piece(i)) > LONGEST else sp.id_to_piece(i) for i in range(n)]
+    return ["" if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) else sp.id_to_piece(i) for i in range(n)]
 
 
 def _segmented(path: str):
@@ -117,12 +115,12 @@ def _segmented(path: str):
     return run
 
 
-def _text_hashes(chars: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, length, hashes) of all stretches of up to LONGEST characters of rows of code points."""
+def _text_hashes(chars: np.ndarray, longest: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, length, hashes) of all stretches of up to longest characters of rows of code points."""
     width = chars.shape[1]
     for start in range(width):
         h = np.zeros(len(chars), np.uint64)
-        for length in range(1, min(LONGEST, width - start) + 1):
+        for length in range(1, min(longest, width - start) + 1):
             h = (h ^ chars[:, start + length - 1]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
             yield start, length, h
@@ -146,14 +144,13 @@ class Lattice:
         texts = [pieces[i] for i in usable]
         hashes = np.zeros(len(texts), np.uint64)
         chars, lengths = _code_points(texts)
-        for start, length, h in _text_hashes(chars, lengths):
+        self.longest = max(map(len, texts), default=1)
+        for start, length, h in _text_hashes(chars, self.longest):
             if start:
                 break
             hashes[lengths == length] = h[lengths == length]
         order = np.argsort(hashes)
         self.hashes, self.log_p, self.unknown = hashes[order], log_p[usable][order], unknown
-        #: Buckets by the top bits point at the first hash, so that most look-ups touch one place.
-        self.longest = max(map(len, texts), default=1)
 
     def _look_up(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -179,9 +176,7 @@ class Lattice:
         n, width = chars.shape
         forward = np.full((width + 1, n), -np.inf)
         forward[0] = 0.0
-        for start, length, h in _text_hashes(chars, lengths):
-            if length > self.longest:
-                continue
+        for start, length, h in _text_hashes(chars, self.longest):
             fits = start + length <= lengths
             p = np.where(fits, self._look_up(h), -np.inf)
             if length == 1:
@@ -191,7 +186,7 @@ class Lattice:
         return forward[lengths, np.arange(n)]
 
     def _long(self, word: str) -> float:
-        """One word of any length, in steps over its characters with memory for the last LONGEST."""
+        """One word of any length, in steps over its characters with memory for as many as the longest piece has."""
         chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
         n = len(chars)
         forward = np.full(n + 1, -np.inf)
@@ -246,7 +241,7 @@ def _scored(lattice: Lattice, end: float, n: int, v: int):
 
 def _looked_up(head) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row, h, n, ...): for each document what its frequent words add, with h null, and one row per other word with its count."""
+        """Rows (row, is_word, h, n, ...): for each document what its frequent words add, with its row number as h, and one row per other word with its count."""
         hashes, known, base, score = head.value
         for batch in batches:
             rows, ids = np.array(batch.column(0)), batch.column(1)
@@ -255,7 +250,7 @@ def _looked_up(head) -> object:
                 at = np.minimum(np.searchsorted(hashes, words), max(len(hashes) - 1, 0))
                 found = hashes[at] == words if len(hashes) else np.zeros(len(words), bool)
                 doc = np.repeat(np.arange(k), np.diff(s.bounds))
-                add = lambda values: np.bincount(doc[found], weights=values[at[found]] if len(hashes) else None, minlength=k)
+                add = lambda values: np.bincount(doc[found], weights=values[at[found]], minlength=k) if len(hashes) else np.zeros(k)
                 n = np.diff(s.bounds).astype(np.int64)
                 sums = [add(known).astype(np.int64), add(base), add(score)]
                 rest_doc, rest = doc[~found], words[~found]
@@ -267,10 +262,10 @@ def _looked_up(head) -> object:
                 own = rows[s.first : s.first + k]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array(own), pa.array(own[rest_doc[new]])]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(rest[new].view(np.int64))]), pa.array(np.concatenate([n, many])),
+                        pa.concat_arrays([pa.array(own), pa.array(own[rest_doc[new]])]), pa.array(np.repeat([False, True], [k, m])), pa.concat_arrays([pa.array(own), pa.array(rest[new].view(np.int64))]), pa.array(np.concatenate([n, many])),
                         pa.concat_arrays([ids.slice(s.first, k), pa.nulls(m, pa.int64())]), *[pa.array(np.concatenate([x, np.zeros(m, x.dtype)])) for x in sums],
                     ],
-                    names=["row", "h", "n", "doc_id", "known", "base", "score"],
+                    names=["row", "is_word", "h", "n", "doc_id", "known", "base", "score"],
                 )
 
     return run
@@ -297,12 +292,11 @@ def score_documents(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) ->
     columns = [np.array(head.column(i).combine_chunks()) for i in range(4)]
     order = np.argsort(columns[0].view(np.uint64))
     spread = docs.sparkSession.sparkContext.broadcast((columns[0].view(np.uint64)[order], *[c[order] for c in columns[1:]]))
-    seen = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text").mapInArrow(_looked_up(spread), "row long, h long, n long, doc_id long, known long, base double, score double")
+    seen = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text").mapInArrow(_looked_up(spread), "row long, is_word boolean, h long, n long, doc_id long, known long, base double, score double")
     tail = scored.where(~is_head).select(F.col("h").alias("_h"), "c", F.col("base").alias("_base"), F.col("score").alias("_score"))
-    is_doc = F.col("h").isNull()
-    joined = seen.join(tail, F.col("h") == F.col("_h"), "left")
+    joined = seen.join(tail, F.col("is_word") & (F.col("h") == F.col("_h")), "left")  # documents' rows match nothing and are spread by their numbers
     per_doc = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum(F.when(is_doc, F.col("n"))).alias("_words"),
+        F.max("doc_id").alias("doc_id"), F.sum(F.when(~F.col("is_word"), F.col("n"))).alias("_words"),
         F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
         F.sum(F.col("base") + F.coalesce(F.col("n") * F.col("_base"), F.lit(0.0))).alias("_base"), F.sum(F.col("score") + F.coalesce(F.col("n") * F.col("_score"), F.lit(0.0))).alias("_score"),
     )

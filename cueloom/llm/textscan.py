@@ -30,7 +30,7 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
         factors = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         factors[0] = 1
         values = np.cumprod(factors, dtype=np.uint64)
-        if len(values) > 4 * SLICE_BYTES:
+        if len(values) > SLICE_BYTES + 1:
             return values  # of one very long text: not kept
         _powers[kind] = values
     return _powers[kind]
