@@ -26,14 +26,24 @@ def shared_root(spark: SparkSession) -> str:
 def freeze(df: DataFrame, name: str = "table", compression: str = "zstd", few: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    few is for tables that are small for their number of partitions: they are written in no more files than the
-    cluster has cores, so that many steps leave no crowd of tiny files.
+    few is for tables with a small share of the rows: they are written in fewer files, a sixteenth of the shuffle
+    partitions but no fewer than the cluster has cores, so that many steps leave no crowd of tiny files.
 
     What follows starts from the written rows, so a lost executor costs no recomputation of what lies before,
-    and values such as row numbers stay as they were written.
+    and values such as row numbers stay as they were written. release() deletes what is no longer needed.
     """
-    path = f"{shared_root(df.sparkSession)}/cueloom/{uuid.uuid4().hex}/{name}"
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/cueloom/{uuid.uuid4().hex}/{name}"
     if few:
-        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frozen = spark.read.schema(df.schema).parquet(path)
+    frozen._frozen_at = path
+    return frozen
+
+
+def release(*frozen: DataFrame) -> None:
+    """Delete the tables that freeze() wrote. Nothing that is still to be computed may start from them."""
+    for df in frozen:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._frozen_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
