@@ -42,6 +42,11 @@ def freeze(df: DataFrame, name: str = "table", compression: str = "zstd", few: b
     return frozen
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(*frozen: DataFrame) -> None:
     """Delete the tables that freeze() wrote. Nothing that is still to be computed may start from them."""
     for df in frozen:

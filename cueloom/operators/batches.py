@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze
 from cueloom.functions import text as T
+from cueloom.sinks.documents import append_lines
+from cueloom.sources.lines import read_lines
 
 BATCH_SIZE = 100
 SMALL_BATCH = 40
@@ -114,18 +116,60 @@ def apply_batches(requests: DataFrame, fn: Callable[[str], str], concurrency: in
     return requests.select("video_id", "batch_no", "expected", "payload").repartition(concurrency, "video_id", "batch_no").mapInPandas(run, "video_id long, batch_no long, expected long, body string, error string")
 
 
-def translate(segments: DataFrame, fn: Callable[[str], str], size: int = BATCH_SIZE, concurrency: int = 2) -> DataFrame:
-    """Real replies (video_id, idx, zh) of the main pass over all segments, written before anything else uses them."""
-    requests = build_requests(assign_batches(segments, size))
-    real = store_only_real(rekey_batches(parse_replies(apply_batches(requests, fn, concurrency).where("body is not null")), segments, size))
-    return freeze(real.select("video_id", "idx", "zh"), "replies")
+def _asked(batched: DataFrame, fn: Callable[[str], str], concurrency: int) -> tuple[DataFrame, DataFrame]:
+    """(real replies (video_id, idx, zh), batches that failed) of numbered lines; replies are written before anything uses them."""
+    replies = freeze(apply_batches(build_requests(batched), fn, concurrency), "replies")
+    lines = parse_replies(replies.where("body is not null")).join(batched.select("video_id", "batch_no", "local_no", "idx", "en"), ["video_id", "batch_no", "local_no"])
+    real = freeze(store_only_real(lines.select("video_id", "idx", "batch_no", "local_no", "zh", "en")).select("video_id", "idx", "zh"), "lines")
+    return real, replies.where("error is not null").select("video_id", "batch_no")
 
 
-def refill_rounds(segments: DataFrame, real: DataFrame, fn: Callable[[str], str], size: int = BATCH_SIZE, rounds: int = 2, concurrency: int = 2) -> tuple[DataFrame, DataFrame]:
+def stored_lines(segments: DataFrame, store: str) -> DataFrame:
+    """(video_id, idx, zh, refill) of the lines of these segments that earlier runs stored and that are still real."""
+    lines = read_lines(segments.sparkSession, store)
+    known = lines.join(segments.select("video_id", F.col("idx").cast("long").alias("idx"), "en"), ["video_id", "idx"])
+    return known.where(~T.is_blank(F.col("zh")) & ~T.is_untranslated(F.col("zh"), F.col("en"))).select("video_id", "idx", "zh", "refill")
+
+
+def pending_lines(batched: DataFrame, stored: DataFrame, size: int) -> DataFrame:
+    """The lines of batches of which fewer than DONE_SHARE came from the main pass."""
+    main = stored.where("not refill").select("video_id", F.floor(F.col("idx") / size).cast("long").alias("batch_no"))
+    expected = batched.groupBy("video_id", "batch_no").agg(F.count(F.lit(1)).alias("expected"))
+    done = batch_coverage(expected, main).where("done").select("video_id", "batch_no")
+    return batched.join(done, ["video_id", "batch_no"], "left_anti")
+
+
+def translate(segments: DataFrame, fn: Callable[[str], str], size: int = BATCH_SIZE, concurrency: int = 2, store: str | None = None, waves: int = 1) -> DataFrame:
+    """Real replies (video_id, idx, zh) of the main pass over all segments.
+
+    Batches that fail altogether are asked again in batches of SMALL_BATCH lines. store is a folder that outlives the
+    run: what earlier runs stored there is not asked for again, and what this one learns is added after each of its
+    waves of batches, so a run that is killed loses no more than one. Stored refills fill lines that the main pass lacks.
+    """
+    batched = assign_batches(segments.withColumn("idx", F.col("idx").cast("long")), size)
+    if store is not None:
+        batched = freeze(pending_lines(batched, stored_lines(segments, store), size).select("video_id", "idx", "en", "batch_no", "local_no"), "pending")
+    found = None
+    for wave in range(waves):
+        now = batched.where(F.pmod(F.xxhash64("video_id", "batch_no"), F.lit(waves)) == wave) if waves > 1 else batched
+        if store is not None and now.isEmpty():
+            continue
+        real, failed = _asked(now, fn, concurrency)
+        parts = -(-size // SMALL_BATCH)
+        again = split_failed(now, failed).withColumns({"batch_no": F.col("batch_no") * parts + F.col("sub_no"), "local_no": F.col("sub_local_no")})
+        if not failed.isEmpty():
+            real = real.unionByName(_asked(again.select("video_id", "idx", "en", "batch_no", "local_no"), fn, concurrency)[0])
+        if store is not None:
+            append_lines(real, store, refill=False)
+        found = real if found is None else found.unionByName(real)
+    return found if store is None else freeze(stored_lines(segments, store).drop("refill"), "stored")
+
+
+def refill_rounds(segments: DataFrame, real: DataFrame, fn: Callable[[str], str], size: int = BATCH_SIZE, rounds: int = 2, concurrency: int = 2, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Ask again for missing lines only: (all real replies, summary of rounds: round_no, missing, refilled).
 
-    Missing lines are numbered anew in small batches; rounds end when none is missing or none came back. Each
-    round's replies are written, so a round that is done is never asked again.
+    Missing lines are numbered anew in small batches; rounds end when none is missing or none came back. Each round's
+    replies are added to the store, if there is one, where translate() finds them in the next run.
     """
     summary = []
     for turn in range(1, rounds + 1):
@@ -134,10 +178,9 @@ def refill_rounds(segments: DataFrame, real: DataFrame, fn: Callable[[str], str]
         n = numbered.count()
         if not n:
             break
-        small = min(size, SMALL_BATCH)
-        batched = assign_batches(numbered, small, "line_no")
-        replies = parse_replies(apply_batches(build_requests(batched), fn, concurrency).where("body is not null"))
-        found = freeze(store_only_real(replies.join(batched, ["video_id", "batch_no", "local_no"]).select("video_id", "idx", "batch_no", "local_no", "zh", "en")).select("video_id", "idx", "zh"), "refill")
+        found, _ = _asked(assign_batches(numbered, min(size, SMALL_BATCH), "line_no"), fn, concurrency)
+        if store is not None:
+            append_lines(found, store, refill=True)
         got = found.count()
         summary.append((turn, n, got))
         real = merge_refill(real, found)

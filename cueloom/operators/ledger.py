@@ -17,6 +17,11 @@ def with_ord(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("ord", F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")).cast("int") - 1)
 
 
+def with_stage(ledger: DataFrame) -> DataFrame:
+    """Add stage, the name at place ord."""
+    return ledger.withColumn("stage", F.get(F.array(*map(F.lit, STAGES)), F.col("ord")))
+
+
 def all_stages(videos: DataFrame) -> DataFrame:
     """Each video with each of the eight stages."""
     stages = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("stage")) for i, s in enumerate(STAGES)])
@@ -55,6 +60,22 @@ def status_report(ledger: DataFrame) -> DataFrame:
     return both.select("video_id", "ord", F.concat_ws("  ", F.col("stage"), F.col("status"), F.nullif(F.array_join(F.coalesce(shown, F.array().cast("array<string>")), ", "), F.lit(""))).alias("line"), "error")
 
 
+def job_report(ledger: DataFrame) -> DataFrame:
+    """(video_id, line_no, line): what stands above and below the stage lines: status, stage, updated, and error, retryable and resume where they apply.
+
+    The ledger has seq, status, at (text), error and retryable; the last event tells stage and time, and its error
+    counts only while it is a failure. A job that is not done resumes at its first open stage.
+    """
+    last = with_stage(ledger).groupBy("video_id").agg(F.max_by(F.struct("stage", "status", "at", "error", "retryable"), "seq").alias("_l"))
+    jobs = last.join(job_status(ledger), "video_id").join(next_pending(ledger), "video_id")
+    failed = F.col("_l.status") == "failed"
+    lines = F.array(
+        F.concat(F.lit("status   "), "status"), F.concat(F.lit("stage    "), "_l.stage"), F.concat(F.lit("updated  "), "_l.at"),
+        F.when(failed, F.concat(F.lit("error    "), F.coalesce("_l.error", F.lit("")))), F.when(failed & F.col("_l.retryable"), F.lit("retryable yes")), F.concat(F.lit("resume   "), "next_stage"),
+    )
+    return jobs.select("video_id", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("line_no", "line"))
+
+
 def merge_meta(updates: DataFrame) -> DataFrame:
     """(video_id, key, value): of each key the value with the greatest seq."""
     return updates.groupBy("video_id", "key").agg(F.max_by("value", "seq").alias("value"))

@@ -35,6 +35,13 @@ def match_audio(segments: DataFrame, manifest: DataFrame, least_dur: float | Non
     return good.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("video_id", "idx", "name", "size_bytes", "dur")
 
 
+def attach_audio(segments: DataFrame, manifest: DataFrame, folder: str = "audio") -> DataFrame:
+    """Segments with the path of the audio file that was found for each; those without one keep what is recorded."""
+    found = match_audio(segments, manifest).select("video_id", "idx", F.concat(F.lit(folder + "/"), "name").alias("_found"))
+    rows = segments.withColumn("_idx", F.col("idx").cast("long")).join(found.withColumnRenamed("idx", "_idx"), ["video_id", "_idx"], "left")
+    return rows.withColumn("audio", F.coalesce("_found", "audio")).select(*segments.columns)
+
+
 def missing_audio(segments: DataFrame, manifest: DataFrame) -> DataFrame:
     need = segments.where(~T.is_blank(F.col("zh"))).select("video_id", F.col("idx").cast("long").alias("idx"))
     return need.join(match_audio(segments, manifest), ["video_id", "idx"], "left_anti")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,43 +57,76 @@ def glue_fragments(units: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
 Piece = tuple[float, float, str]
 
 
-def _pack(units: list[Piece], max_gap: float, target_len: float, max_len: float, max_chars: int, min_dur: float, min_words: int) -> list[Piece]:
-    """Fold the units of one run: glue fragments, pack sentences up to a target length, absorb what is still tiny."""
+@dataclass(frozen=True)
+class Limits:
+    """What segments should be like: the target and greatest length in seconds and characters, and what counts as tiny."""
 
-    def is_tiny(p: Piece) -> bool:
-        return p[1] - p[0] < min_dur or len(p[2].split()) < min_words
+    max_gap: float = MAX_GAP
+    target_len: float = 5.0
+    max_len: float = 8.5
+    max_chars: int = 140
+    min_seg_dur: float = 1.4
+    min_seg_words: int = 4
 
-    def folded(pieces: list[Piece], joins) -> list[Piece]:
-        out: list[Piece] = []
-        for piece in pieces:
-            if out and piece[0] - out[-1][1] <= max_gap:
-                both = (out[-1][0], piece[1], normalize(f"{out[-1][2]} {piece[2]}"))
-                if joins(out[-1], piece, both, mid_sentence_cut(out[-1][2], piece[2])):
-                    out[-1] = both
-                    continue
-            out.append(piece)
-        return out
+    def is_tiny(self, p: Piece) -> bool:
+        return p[1] - p[0] < self.min_seg_dur or len(p[2].split()) < self.min_seg_words
 
-    def within(p: Piece, times: float) -> bool:
-        return p[1] - p[0] <= max_len * times and len(p[2]) <= int(max_chars * times)
+    def within(self, p: Piece, times: float) -> bool:
+        return p[1] - p[0] <= self.max_len * times and len(p[2]) <= int(self.max_chars * times)
 
-    sentences = folded(units, lambda a, b, both, mid: mid)
-    packed = folded(sentences, lambda a, b, both, mid: mid or (is_tiny(a) or a[1] - a[0] < target_len) and within(both, 1))
-    packed = [(s, e, t) for s, e, raw in packed if (t := normalize(raw))]
-    return folded(packed, lambda a, b, both, mid: mid or (is_tiny(a) or is_tiny(b)) and within(both, 1.1))
+
+def _joined(pieces: Iterable[Piece], max_gap: float, joins: Callable[[Piece, Piece, Piece], bool]) -> Iterator[Piece]:
+    """Pieces with those joined to the one before that follow within max_gap and cut a sentence, or for which joins(before, piece, both) holds."""
+    held = None
+    for piece in pieces:
+        if held and piece[0] - held[1] <= max_gap:
+            both = (held[0], piece[1], normalize(f"{held[2]} {piece[2]}"))
+            if mid_sentence_cut(held[2], piece[2]) or joins(held, piece, both):
+                held = both
+                continue
+        if held:
+            yield held
+        held = piece
+    if held:
+        yield held
+
+
+def _packed(units: Iterable[Piece], limits: Limits) -> Iterator[Piece]:
+    """Units with fragments glued, and sentences packed up to the target length."""
+    sentences = _joined(units, limits.max_gap, lambda a, b, both: False)
+    for start, end, raw in _joined(sentences, limits.max_gap, lambda a, b, both: (limits.is_tiny(a) or a[1] - a[0] < limits.target_len) and limits.within(both, 1)):
+        if text := normalize(raw):
+            yield start, end, text
+
+
+def _absorbed(pieces: Iterable[Piece], limits: Limits) -> Iterator[Piece]:
+    """Pieces with tiny ones joined to a neighbour while both stay within a tenth over the limits."""
+    return _joined(pieces, limits.max_gap, lambda a, b, both: (limits.is_tiny(a) or limits.is_tiny(b)) and limits.within(both, 1.1))
 
 
 def pack_segments(units: DataFrame, max_gap: float = MAX_GAP, target_len: float = 5.0, max_len: float = 8.5, max_chars: int = 140, min_seg_dur: float = 1.4, min_seg_words: int = 4) -> DataFrame:
-    """Segments of timed units: (video_id, idx, start_s, end_s, en). Runs are more than max_gap apart, so each is folded alone."""
+    """Segments of timed units: (video_id, idx, start_s, end_s, en). Runs are more than max_gap apart, so each is folded alone, piece by piece."""
+    limits = Limits(max_gap, target_len, max_len, max_chars, min_seg_dur, min_seg_words)
 
     def packed(rows: Iterator[Piece]) -> Iterator[tuple[int, float, float, str]]:
-        for n, piece in enumerate(_pack(list(rows), max_gap, target_len, max_len, max_chars, min_seg_dur, min_seg_words)):
+        for n, piece in enumerate(_absorbed(_packed(rows, limits), limits)):
             yield n, *piece
 
     segments = fold_groups(units, ["video_id", "run_id"], ["unit_no"], ["start_s", "end_s", "text"], packed, "video_id long, run_id long, part long, start_s double, end_s double, en string")
     return renumber(segments, ["run_id", "part"]).drop("run_id", "part")
 
 
+def absorb_micro(segments: DataFrame, max_gap: float = MAX_GAP, max_len: float = 8.5, max_chars: int = 140, min_seg_dur: float = 1.4, min_seg_words: int = 4) -> DataFrame:
+    """Segments (video_id, idx, start_s, end_s, en) with tiny ones joined to a neighbour, numbered anew."""
+    limits = Limits(max_gap, 0.0, max_len, max_chars, min_seg_dur, min_seg_words)
+
+    def absorbed(rows: Iterator[Piece]) -> Iterator[tuple[int, float, float, str]]:
+        for n, piece in enumerate(_absorbed(rows, limits)):
+            yield n, *piece
+
+    return fold_groups(segments, ["video_id"], ["idx"], ["start_s", "end_s", "en"], absorbed, "video_id long, idx int, start_s double, end_s double, en string")
+
+
 def renumber(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Dense numbers from 0 in each video."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy("video_id").orderBy(*order)) - 1)

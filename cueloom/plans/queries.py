@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueloom.checkpoints import shared_root
+from cueloom.checkpoints import freeze, shared_root
 from cueloom.functions import splitting, timing
 from cueloom.functions import text as T
 from cueloom.operators import batches, cues, fit, ledger, quality, segments, timeline
@@ -69,13 +69,16 @@ def _scalar(name: str, column: Callable[[], Column], sql: str, raw: str = "text"
 
 _x = lambda: F.col("x")
 _flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-_scalar("ts_to_seconds", lambda: timing.millis(timing.ts_to_seconds(_x())), D.millis("CAST(substr(x,1,2) AS INT)*3600+CAST(substr(x,4,2) AS INT)*60+CAST(substr(x,7,2) AS INT)+CAST('0.'||substr(x,10) AS DOUBLE)"), "concat(lpad(CAST(cue_no%100 AS STRING),2,'0'),':',lpad(CAST(video_id%60 AS STRING),2,'0'),':',lpad(CAST(cue_no%60 AS STRING),2,'0'),CASE WHEN cue_no%2=0 THEN '.' ELSE ',' END,lpad(CAST(cue_no*7%1000 AS STRING),3,'0'))")
+_WHOLE_MS = "CAST(round(end_s*1000e0) AS BIGINT)"
+_PART = "lpad(CAST(CAST(floor({0}/{1}e0) AS BIGINT)%{2} AS STRING),{3},'0')"
+_STAMP = "concat(" + ", ".join([_PART.format(_WHOLE_MS, 3_600_000, 100, 2), "':'", _PART.format(_WHOLE_MS, 60_000, 60, 2), "':'", _PART.format(_WHOLE_MS, 1000, 60, 2), "CASE WHEN cue_no%2=0 THEN '.' ELSE ',' END", _PART.format(_WHOLE_MS, 1, 1000, 3)]) + ")"
+_scalar("ts_to_seconds", lambda: timing.millis(timing.ts_to_seconds(_x())), D.millis("CAST(substr(x,1,2) AS INT)*3600+CAST(substr(x,4,2) AS INT)*60+CAST(substr(x,7,2) AS INT)+CAST('0.'||substr(x,10) AS DOUBLE)"), _STAMP)
 _scalar("seconds_to_ts", lambda: F.concat(timing.seconds_to_ts(F.col("start_s")), timing.seconds_to_ts(F.col("end_s") - 5, ",")), f"concat({D.stamp('start_s', '.')}, {D.stamp('(end_s-5)', ',')})")
 _scalar("seconds_to_ass", lambda: timing.seconds_to_ass(F.col("start_s")), D.ass_stamp("start_s"))
 _scalar("clean_caption_text", lambda: T.clean_caption_text(_x()), D.clean("x"), "concat('<c>', text, '</c> &amp;lt; &nbsp; <00:00:01.000><b>', text, '</b>')")
 _scalar("normalize_cue_text", lambda: T.normalize_cue_text(_x()), D.normalize("x"), "concat(' , um ', text, ' , , uhh, umm um ', text, ' ,')")
 _scalar("drop_fillers", lambda: T.drop_fillers(_x()), D.drop_fillers("x"), "concat('Ok, you know ', text, ' i mean um uh okay ', text)")
-_scalar("payload_line_filter", lambda: _flag(~T.is_blank(_x()) & ~_x().rlike(r"(?U)^\s*\p{Nd}+\s*$") & ~_x().startswith("NOTE") & ~_x().rlike(r"(?i)^(align|position|size|line|vertical):.*$")), r"CAST(trim(x)<>'' AND NOT regexp_matches(x,'^\s*[0-9]+\s*$') AND NOT starts_with(x,'NOTE') AND NOT regexp_matches(x,'(?i)^(align|position|size|line|vertical):.*$') AS INT)", "CASE cue_no%6 WHEN 0 THEN CAST(cue_no AS STRING) WHEN 1 THEN concat('NOTE ',text) WHEN 2 THEN concat('Align:',text) WHEN 3 THEN ' ' ELSE text END")
+_scalar("payload_line_filter", lambda: _flag(captions.is_shown(T.squeeze_ends(_x()), True)), r"CAST(trim(x)<>'' AND NOT regexp_matches(x,'^\s*[0-9]+\s*$') AND NOT starts_with(trim(x),'NOTE') AND NOT regexp_matches(trim(x),'(?i)^(align|position|size|line|vertical):.*$') AS INT)", "CASE cue_no%6 WHEN 0 THEN CAST(cue_no AS STRING) WHEN 1 THEN concat('NOTE ',text) WHEN 2 THEN concat('Align:',text) WHEN 3 THEN ' ' ELSE text END")
 _scalar("ends_sentence", lambda: _flag(T.ends_sentence(_x())), f"CAST({D.ends('x')} AS INT)", "concat(text, CASE cue_no%3 WHEN 0 THEN '.\")' WHEN 1 THEN '' ELSE '! ' END)")
 _scalar("dangling_end", lambda: _flag(T.dangling_end(_x())), f"CAST({D.dangling('x')} AS INT)", "concat(text, CASE cue_no%4 WHEN 0 THEN ' They''re, ' WHEN 1 THEN '' WHEN 2 THEN ' the' ELSE '-' END)")
 _scalar("starts_continuation", lambda: _flag(T.starts_continuation(_x())), f"CAST({D.continuation('x')} AS INT)", "concat('  ', text)")
@@ -198,7 +201,13 @@ def parse_vtt(spark: SparkSession, sf: str) -> DataFrame:
     return _numbered(captions.parse_vtt(_caption_files(spark, sf, "vtt")))
 
 
-@register("load_cues")
+_LOADED = rf"""v AS ({_VISIBLE}), numbered AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY cue_no)-1 AS k FROM v),
+srt AS (SELECT video_id, k AS cue_no, {_MS}, shown AS text FROM numbered WHERE shown<>'' AND NOT regexp_matches(trim(text),'^[0-9]+$') AND end_s-start_s>=5e-2),
+last_line AS (SELECT video_id, cue_no, start_s, end_s, CASE WHEN {D.clean('text')}='' OR regexp_matches(trim(text),'^[0-9]+$') OR starts_with(trim(text),'NOTE') OR regexp_matches(trim(text),'(?i)^(align|position|size|line|vertical):') THEN 'first line' ELSE {D.clean('text')} END AS text FROM cues WHERE end_s-start_s>=5e-2),
+{D.collapsed('last_line')}, derolled AS (SELECT video_id, n AS cue_no, c.s AS start_s, c.e AS end_s, c.t AS text FROM collapsed), {D.deltas('derolled')}"""
+
+
+@register("load_cues", f"{X.duck()}, {_LOADED} SELECT * FROM srt UNION ALL SELECT -video_id-1 AS video_id, n AS cue_no, {D.millis('c.s')} AS start_ms, {D.millis('c.e')} AS end_ms, c.t AS text FROM deltas")
 def load_cues(spark: SparkSession, sf: str) -> DataFrame:
     files = _caption_files(spark, sf, "srt").unionByName(_caption_files(spark, sf, "vtt").withColumn("video_id", -F.col("video_id") - 1))
     return _ms(captions.load_cues(files), "cue_no", "text")
@@ -219,7 +228,7 @@ def read_url_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("dedupe_first", f"WITH l AS ({X.DUCK_URL_LINES}) SELECT line, min(line_no) AS line_no FROM l GROUP BY 1")
 def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
-    return X.url_lines(spark, sf).groupBy("line").agg(F.min("line_no").alias("line_no"))
+    return tables.dedupe_first(X.url_lines(spark, sf), "line", "line_no")
 
 
 @register("file_manifest", f"{X.duck('manifest', 'outputs')}, f AS (SELECT video_id, 'audio' AS name, size_bytes FROM manifest UNION ALL SELECT video_id, name, size_bytes FROM outputs) SELECT video_id, name, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM f GROUP BY 1,2")
@@ -343,7 +352,10 @@ def apply_batches(spark: SparkSession, sf: str) -> DataFrame:
     return batches.apply_batches(batches.build_requests(batches.assign_batches(_lines_of(spark, sf))), stub, 4, 1).drop("error")
 
 
-@register("refill_rounds")
+_ANSWER = f"trim({D.clean_reply(D.strip('concat(' + D.q('译') + ', ' + D.drop_fillers('text') + ')', chr(34) + chr(39) + '“”'))})"
+
+
+@register("refill_rounds", f"{X.duck()}, r AS (SELECT video_id, cue_no AS idx, text AS en, {_ANSWER} AS zh FROM cues) SELECT video_id, idx, zh FROM r WHERE {D.real('zh', 'en')}")
 def refill_rounds(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines_of(spark, sf)
     return batches.refill_rounds(lines, batches.translate(lines, stub), stub)[0]
@@ -361,12 +373,15 @@ def pause_runs(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(cues.pause_runs(X.cues(spark, sf)), "run_id", "n_cues", "text")
 
 
-@register("collapse_rolling")
+_FOLD_MS = f"{D.millis('c.s')} AS start_ms, {D.millis('c.e')} AS end_ms"
+
+
+@register("collapse_rolling", f"{X.duck('rolling')}, {D.collapsed('rolling')} SELECT video_id, n AS cue_no, c.t AS text, {_FOLD_MS} FROM collapsed")
 def collapse_rolling(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(cues.collapse_rolling(X.derived(spark, sf, "rolling")), "cue_no", "text")
 
 
-@register("suffix_delta")
+@register("suffix_delta", f"{X.duck('rolling')}, {D.deltas('rolling')} SELECT video_id, n AS cue_no, c.t AS text, {_FOLD_MS} FROM deltas")
 def suffix_delta(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(cues.suffix_delta(X.derived(spark, sf, "rolling")), "cue_no", "text")
 
@@ -418,14 +433,23 @@ def glue_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(segments.glue_fragments(segments.allocate_times(_sentences(spark, sf))), "run_id", "sentence_no", "text")
 
 
-@register("pack_segments")
+_PACKED = f"""{D.joined_pieces('packs', 'glued', 'video_id, run_id', 'sentence_no', D.tiny('{a}') + ' OR {a}.e - {a}.s < 5e0', 1)},
+packed AS (SELECT * FROM (SELECT video_id, run_id, n, c.s AS start_s, c.e AS end_s, {D.normalize('c.t')} AS text FROM packs) WHERE text <> ''),
+{D.joined_pieces('absorbed', 'packed', 'video_id, run_id', 'n', D.tiny('{a}') + ' OR ' + D.tiny('{b}'), 1.1)}"""
+
+
+@register("pack_segments", f"{X.duck()}, {_RUNS}, {_SENTENCES}, {_TIMED}, {_GLUED}, {_PACKED} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY run_id, n)-1 AS INT) AS idx, c.t AS en, {_FOLD_MS} FROM absorbed")
 def pack_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(segments.pack_segments(segments.allocate_times(_sentences(spark, sf))), "idx", "en")
 
 
-@register("absorb_micro")
+_ABSORBED = D.joined_pieces("absorbed", "glued", "video_id", "run_id, sentence_no", D.tiny("{a}") + " OR " + D.tiny("{b}"), 1.1)
+
+
+@register("absorb_micro", f"{X.duck()}, {_RUNS}, {_SENTENCES}, {_TIMED}, {_GLUED}, {_ABSORBED} SELECT video_id, CAST(n AS INT) AS idx, c.t AS en, {_FOLD_MS} FROM absorbed")
 def absorb_micro(spark: SparkSession, sf: str) -> DataFrame:
-    return _ms(segments.pack_segments(segments.allocate_times(_sentences(spark, sf)), target_len=0.0), "idx", "en")
+    glued = segments.glue_fragments(segments.allocate_times(_sentences(spark, sf))).withColumnRenamed("text", "en")
+    return _ms(segments.absorb_micro(segments.renumber(glued, ["run_id", "sentence_no"])), "idx", "en")
 
 
 @register("segment_cues")
@@ -663,7 +687,20 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("append_failed", rf"{_DUCK_RUNS}, l AS (SELECT url, trim(regexp_replace(error, '[\r\n]+', ' ', 'g')) AS e FROM runs WHERE status='failed') SELECT url, CASE WHEN length(e)>300 THEN concat(substr(e,1,297),'...') ELSE e END AS error FROM l")
 def append_failed(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.append_failed(_runs(spark, sf))
+    path = _new_path(spark, "failed")
+    K.append_failed(ledger.append_failed(_runs(spark, sf)), path)
+    return K.read_failed(spark, path)
+
+
+@register("caption_documents")
+def caption_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain: caption files to cues, segments, requests, replies, refills, slots and SRT documents."""
+    loaded = captions.load_cues(_caption_files(spark, sf, "vtt"), extend_to_next=False)
+    lines = freeze(segments.segment_cues(loaded), "segments")
+    real, _ = batches.refill_rounds(lines, batches.translate(lines, stub), stub)
+    filled = batches.fallback_fill(batches.attach_translation(lines, real))
+    slots = segments.slot_with_lead(filled)
+    return K.render_srt(slots.withColumn("end_s", F.col("start_s") + F.col("slot_s")))
 
 
 # ---- documents and written tables

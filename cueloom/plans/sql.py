@@ -113,3 +113,45 @@ def shorten_steps(x: str) -> tuple[str, list[str]]:
         tidy = strip(sub(changed, r"[，。\s]{2,}", "，"), "，。 ")
         steps.append(f"h{i} AS (SELECT *, CASE WHEN {changed} <> t{i - 1} THEN {tidy} ELSE t{i - 1} END AS t{i} FROM h{i - 1})")
     return strip(sub(x, r"[，。！？、\s]+", "，"), "，"), steps
+
+
+def _folded(name: str, src: str, keys: str, order: str, piece: str, step: str) -> str:
+    """The CTE ``name`` (keys, n, c): the pieces that a fold over each group of src leaves, numbered from 0.
+
+    piece is the struct that stands for a row; step gives the pieces so far, acc, once the list x of the next one is taken in.
+    """
+    return f"""{name}_in AS (SELECT {keys}, list([{piece}] ORDER BY {order}) AS a FROM {src} GROUP BY ALL),
+{name}_out AS (SELECT {keys}, list_reduce(a, lambda acc, x: {step}) AS o FROM {name}_in),
+{name} AS (SELECT {keys}, unnest(generate_series(0, len(o)-1)) AS n, unnest(o) AS c FROM {name}_out)"""
+
+
+def collapsed(src: str) -> str:
+    """Rolling captions of src collapsed: (video_id, n, c.s, c.e, c.t)."""
+    old, new = "acc[-1]", "x[1]"
+    longer = lambda f: f"CASE WHEN length({new}.t) >= length({old}.t) THEN {new}.{f} ELSE {old}.{f} END"
+    joined = f"{{'s': {old}.s, 'e': greatest({old}.e, {new}.e), 't': {longer('t')}, 'k': {longer('k')}}}"
+    closed = f"{{'s': {old}.s, 'e': greatest({old}.e, {new}.s), 't': {old}.t, 'k': {old}.k}}"
+    step = f"CASE WHEN starts_with({new}.k, {old}.k) OR starts_with({old}.k, {new}.k) THEN list_concat(acc[:-2], [{joined}]) ELSE list_concat(acc[:-2], [{closed}], x) END"
+    return _folded("collapsed", src, "video_id", "cue_no", f"{{'s': start_s, 'e': end_s, 't': text, 'k': lower({squeeze('text')})}}", step)
+
+
+def deltas(src: str) -> str:
+    """What is new in each cue of src: (video_id, n, c.s, c.e, c.t)."""
+    grown = "acc[-1].f <> '' AND starts_with(x[1].f, acc[-1].f)"
+    new = "trim(substr(x[1].f, length(acc[-1].f) + 1), ' ,.-')"
+    step = f"CASE WHEN {grown} AND {new} = '' THEN acc ELSE list_concat(acc, [{{'s': x[1].s, 'e': x[1].e, 't': CASE WHEN {grown} THEN {new} ELSE x[1].f END, 'f': x[1].f}}]) END"
+    return _folded("deltas", src, "video_id", "cue_no", f"{{'s': start_s, 'e': end_s, 't': {squeeze('text')}, 'f': {squeeze('text')}}}", step)
+
+
+def joined_pieces(name: str, src: str, keys: str, order: str, may_join: str, times: float, max_len: float = 8.5, max_chars: int = 140) -> str:
+    """Pieces (start_s, end_s, text) of src joined to the one before, a, where the cut is in mid sentence, or may_join holds and both stay within times the limits."""
+    a, b = "acc[-1]", "x[1]"
+    both = normalize(f"concat({a}.t, ' ', {b}.t)")
+    within = f"{b}.e - {a}.s <= {max_len * times!r}e0 AND length({both}) <= {int(max_chars * times)}"
+    joins = f"{b}.s - {a}.e <= 75e-2 AND ({mid_cut(f'{a}.t', f'{b}.t')} OR ({may_join.format(a=a, b=b)}) AND {within})"
+    step = f"CASE WHEN {joins} THEN list_concat(acc[:-2], [{{'s': {a}.s, 'e': {b}.e, 't': {both}}}]) ELSE list_concat(acc, x) END"
+    return _folded(name, src, keys, order, "{'s': start_s, 'e': end_s, 't': text}", step)
+
+
+def tiny(p: str, min_dur: float = 1.4, min_words: int = 4) -> str:
+    return f"({p}.e - {p}.s < {min_dur!r}e0 OR {n_words(f'{p}.t')} < {min_words})"

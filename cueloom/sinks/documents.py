@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
@@ -48,9 +48,9 @@ def render_ass(segments: DataFrame, width: int = 32) -> DataFrame:
     return _document(shown, line).withColumn("body", F.concat(F.lit(ASS_HEADER), "body", F.lit("\n")))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One text row per video, in folders by video_id, written in parallel."""
-    documents.select("video_id", F.col("body").alias("value")).repartition("video_id").write.mode("overwrite").partitionBy("video_id").option("lineSep", "\n").text(path)
+def write_documents(documents: DataFrame, path: str, buckets: int = 64) -> None:
+    """Documents (video_id, body) as Parquet in folders by a bucket of video_id, so their number does not grow with the videos."""
+    documents.withColumn("bucket", F.pmod("video_id", F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_segments(segments: DataFrame, path: str, buckets: int = 64, fmt: str = "parquet") -> None:
@@ -67,6 +67,12 @@ def write_batch_replies(replies: DataFrame, path: str, buckets: int = 64) -> Non
     replies.withColumns({"written_at": F.current_timestamp(), "bucket": F.pmod("video_id", F.lit(buckets))}).write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def append_lines(lines: DataFrame, path: str, refill: bool, buckets: int = 64) -> None:
+    """Append translated lines (video_id, idx, zh) with the time of writing, and whether a refill gave them; read_lines() reads them."""
+    rows = lines.select("video_id", F.col("idx").cast("long").alias("idx"), "zh", F.lit(refill).alias("refill"), F.current_timestamp().alias("written_at"))
+    rows.withColumn("bucket", F.pmod("video_id", F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def latest_replies(stored: DataFrame) -> DataFrame:
     order = Window.partitionBy("video_id", "batch_no").orderBy(F.col("written_at").desc())
     return stored.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "written_at", "bucket")
@@ -77,5 +83,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def append_failed(failed: DataFrame, path: str) -> None:
-    """Append url and error, separated by a tab, to the log."""
-    failed.select("url", "error").write.mode("append").option("sep", "\t").csv(path)
+    """Append url and error, separated by a tab, to the log; read_failed() reads it."""
+    failed.select("url", "error").write.mode("append").options(sep="\t", escape='"').csv(path)
+
+
+def read_failed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("url string, error string").options(sep="\t", escape='"').csv(path)

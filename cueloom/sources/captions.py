@@ -33,12 +33,15 @@ def without_captions(files: DataFrame) -> DataFrame:
     return files.select("video_id").distinct().join(pick_caption_file(files), "video_id", "left_anti")
 
 
+def is_shown(line: Column, drop_notes: bool) -> Column:
+    """Whether a line of a cue's payload, without space at its ends, is shown: no blank or all-digit ones, and for VTT no notes or settings."""
+    shown = (line != "") & ~line.rlike(r"(?U)^\p{Nd}+$")
+    return shown & ~line.startswith("NOTE") & ~line.rlike(_SETTING) if drop_notes else shown
+
+
 def _lines(payload: Column, drop_notes: bool) -> Column:
-    """Visible lines of a cue's payload, cleaned: no blank or all-digit ones, and for VTT no notes or settings."""
-    lines = F.transform(F.split(payload, r"\r\n|[\n\r]"), T.squeeze_ends)
-    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"(?U)^\p{Nd}+$"))
-    if drop_notes:
-        lines = F.filter(lines, lambda x: ~x.startswith("NOTE") & ~x.rlike(_SETTING))
+    """Visible lines of a cue's payload, cleaned."""
+    lines = F.filter(F.transform(F.split(payload, r"\r\n|[\n\r]"), T.squeeze_ends), lambda x: is_shown(x, drop_notes))
     return F.filter(F.transform(lines, T.clean_caption_text), lambda x: x != "")
 
 

@@ -1,5 +1,7 @@
 """Operators over cues, segments, replies, trials, clips, files and the ledger."""
 
+import uuid
+
 import pytest
 
 from cueloom.functions import timing
@@ -72,20 +74,91 @@ def lines(spark, n, video=1):
     return spark.createDataFrame([(video, i, f"line {i}") for i in range(n)], "video_id long, idx long, en string")
 
 
-def test_transform_is_resumed_and_refilled(spark):
-    asked = spark.sparkContext.accumulator(0)
+def counted(folder, fn):
+    """fn, with a file left for each call, as tasks run in other processes; and the number of lines asked for so far."""
+    folder.mkdir()
 
-    def fn(payload):
+    def call(payload):
+        (folder / uuid.uuid4().hex).write_text(payload)
+        return fn(payload)
+
+    return call, lambda: sorted(len(f.read_text().split("\n")) for f in folder.iterdir())
+
+
+def forgetful():
+    """A function that leaves out line 7 of long payloads; made here, so that tasks get it by value."""
+
+    def call(payload):
         out = payload.split("\n")
         return "\n".join(f"{x.split('. ')[0]}. 译{x.split('. ')[1]}" for x in out if not x.startswith("7.") or len(out) < 10)
 
+    return call
+
+
+def test_transform_is_refilled(spark, tmp_path):
+    fn, asked = counted(tmp_path / "calls", forgetful())
     table = lines(spark, 130)
     real = batches.translate(table, fn)
-    assert real.count() == 128 and {r["idx"] for r in batches.missing_lines(table, real).collect()} == {6, 106}
+    assert real.count() == 128 and {r["idx"] for r in batches.missing_lines(table, real).collect()} == {6, 106} and asked() == [30, 100]
     final, rounds = batches.refill_rounds(table, real, fn)
-    assert final.count() == 130 and [tuple(r) for r in rounds.collect()] == [(1, 2, 2)]
+    assert final.count() == 130 and [tuple(r) for r in rounds.collect()] == [(1, 2, 2)] and asked() == [2, 30, 100]
     again, none = batches.refill_rounds(table, final, fn)
-    assert again.count() == 130 and none.count() == 0 and asked.value == 0
+    assert again.count() == 130 and none.count() == 0 and asked() == [2, 30, 100]
+
+
+def test_transform_is_resumed_from_its_store(spark, tmp_path):
+    fn, asked = counted(tmp_path / "calls", forgetful())
+    table, store = lines(spark, 130), f"file://{tmp_path}/store"
+    real = batches.translate(table, fn, store=store)
+    assert real.count() == 128 and asked() == [30, 100]
+    assert batches.translate(table, fn, store=store).count() == 128 and asked() == [30, 100]  # killed before the refill: nothing is asked again
+    final, _ = batches.refill_rounds(table, real, fn, store=store)
+    assert final.count() == 130 and asked() == [2, 30, 100]
+    again = batches.translate(table, fn, store=store)
+    assert {(r["idx"], r["zh"]) for r in again.collect()} == {(i, f"译line {i}") for i in range(130)} and asked() == [2, 30, 100]
+    assert batches.refill_rounds(table, again, fn, store=store)[1].count() == 0 and asked() == [2, 30, 100]
+    longer = table.unionByName(lines(spark, 5, video=2))
+    assert batches.translate(longer, fn, store=store, waves=3).count() == 135 and asked() == [2, 5, 30, 100]
+
+
+def test_killed_wave_loses_no_other(spark, tmp_path):
+    fn, asked = counted(tmp_path / "calls", forgetful())
+    table, store = lines(spark, 300), f"file://{tmp_path}/store"
+    whole = batches.append_lines
+    stored = []
+
+    def killed(*args, **options):
+        if stored:
+            raise KeyboardInterrupt
+        whole(*args, **options)
+        stored.append(1)
+
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(KeyboardInterrupt):
+        patch.setattr(batches, "append_lines", killed)
+        batches.translate(table, fn, store=store, waves=8)
+    before = len(asked())
+    assert batches.translate(table, fn, store=store, waves=8).count() == 297 and len(asked()) == before + 2
+
+
+def test_failed_batches_are_split(spark, tmp_path):
+    answer = forgetful()
+
+    def narrow(payload):
+        if len(payload.split("\n")) > 40:
+            raise ValueError("too long")
+        return answer(payload)
+
+    fn, asked = counted(tmp_path / "calls", narrow)
+    real = batches.translate(lines(spark, 130), fn)
+    assert {r["idx"] for r in real.collect()} == set(range(130)) - {6, 46, 86, 106} and asked() == [20, 30, 40, 40, *[100] * 5]
+
+
+def test_stored_echoes_are_asked_again(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    table = lines(spark, 3)
+    batches.append_lines(table.withColumnRenamed("en", "zh"), store, refill=False)
+    fn, asked = counted(tmp_path / "calls", forgetful())
+    assert batches.translate(table, fn, store=store).count() == 3 and asked() == [3]
 
 
 def test_failures_become_rows(spark):
@@ -149,6 +222,26 @@ def test_ledger(spark):
     assert dict(map(tuple, ledger.next_pending(again).collect()))[1] == "tts" and dict(map(tuple, ledger.job_status(again).collect()))[1] == "pending"
 
 
+def test_job_report(spark):
+    rows = [(1, o, o, "done", f"t{o}", None, None) for o in range(8)] + [(2, 0, 1, "done", "a", None, None), (2, 1, 2, "failed", "b", "broken", True), (3, 0, 1, "failed", "c", "gone", False), (3, 0, 2, "running", "d", None, None)]
+    log = spark.createDataFrame(rows, "video_id long, ord int, seq long, status string, at string, error string, retryable boolean")
+    got = {}
+    for r in ledger.job_report(log).orderBy("video_id", "line_no").collect():
+        got.setdefault(r["video_id"], []).append(r["line"])
+    assert got == {
+        1: ["status   done", "stage    compose", "updated  t7"],
+        2: ["status   failed", "stage    prepare_video", "updated  b", "error    broken", "retryable yes", "resume   prepare_video"],
+        3: ["status   running", "stage    download", "updated  d", "resume   download"],
+    }
+
+
+def test_found_audio_is_written_back(spark):
+    rows = spark.createDataFrame([(1, 0, "译", "", "x"), (1, 1, "译", "old/here.mp3", "x"), (1, 2, "译", "gone.mp3", "x")], "video_id long, idx int, zh string, audio string, note string")
+    files = spark.createDataFrame([(1, "seg_0000.mp3", 600, 1.0), (1, "here.mp3", 700, 1.0), (1, "seg_0001_r10.mp3", 900, 1.0)], "video_id long, name string, size_bytes long, dur double")
+    out = quality.attach_audio(rows, files)
+    assert out.columns == rows.columns and {r["idx"]: r["audio"] for r in out.collect()} == {0: "audio/seg_0000.mp3", 1: "audio/here.mp3", 2: "gone.mp3"}
+
+
 def test_documents_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, 0.0, 1.5, "one", "一"), (1, 1, 2.0, 3.25, "two", ""), (1, 2, 4.0, 5.0, "three", "三\n四{x}")], "video_id long, idx long, start_s double, end_s double, en string, zh string")
     srt = documents.render_srt(rows).first()["body"]
@@ -157,7 +250,7 @@ def test_documents_round_trip(spark, tmp_path):
     assert times(parsed, "text") == [(0.0, 1.5, "一"), (4.0, 5.0, "三 四{x}")]
     assert documents.render_ass(rows).first()["body"].endswith("Dialogue: 0,0:00:00.00,0:00:01.50,ZH,,0,0,0,,一\nDialogue: 0,0:00:04.00,0:00:05.00,ZH,,0,0,0,,三 四(x)\n")
     documents.write_documents(documents.render_srt(rows), str(tmp_path / "out"))
-    assert next((tmp_path / "out" / "video_id=1").glob("*.txt")).read_text().startswith("1\n00:00:00,000")
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("video_id", "body", "bucket").collect()] == [(1, srt, 1)]
 
 
 def test_caption_files(spark, tmp_path):
