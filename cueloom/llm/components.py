@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.checkpoints import freeze
+from cueloom.checkpoints import freeze, release
 
 #: More rounds than any graph of fewer than 2**60 nodes is expected to need.
 MAX_ROUNDS = 60
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp): for each node of edges (a, b), the least node reachable from it.
 
     Repeated edges, either direction and loops are allowed; nulls are dropped. Rounds end when every node hangs
-    on one root and no root on another; each round is written to the shared folder. The least of a node's
+    on one root and no root on another; each round is written to the shared folder, and
+    an error is raised if they do not end within MAX_ROUNDS. The result is a written table. The least of a node's
     neighbours is summed before it is dealt out, and Spark splits a node with very many edges over tasks.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -37,6 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == tuple(seen) or not seen["n"]:
             break
         mark = tuple(seen)
-        pairs = freeze(_stars(pairs), "stars", few=True)
+        before, pairs = pairs, freeze(_stars(pairs), "stars", few=True)
+        release(before)
+    else:
+        raise RuntimeError(f"components are not found in {MAX_ROUNDS} rounds")
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+    found = freeze(pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots), "components", few=True)
+    release(pairs)
+    return found
