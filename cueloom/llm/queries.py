@@ -71,9 +71,28 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+# What SQL can say of four of these queries, so that it can be checked over whole tables; hashes and verdicts are left to the tests.
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_sainte_lague_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def byte_shard_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_byte_shards(spark, sf_dir).select("doc_id", "size", "shard", "slot")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_compression_bands(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("base_failed").cast("int").alias("base_failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm)
+    for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm, secret_base_counts, mix_targets, byte_shard_places, quality_base_counts)
 }
 
 _OP2 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
@@ -95,5 +114,37 @@ r AS (SELECT *, CASE WHEN (host='example.net' OR ends_with(host,'.example.net'))
   WHEN (host='org' OR ends_with(host,'.org')) AND starts_with(path,'/fr/') THEN 'org/fr/' WHEN (host='net' OR ends_with(host,'.net')) AND starts_with(path,'/') THEN 'net/' END AS rule FROM j)
 SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict, listed FROM r"""
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_SECRETS = r"""WITH t AS (SELECT doc_id, coalesce(text,'') AS x FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(x, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 12)) AS n_assign,
+len(list_filter(regexp_extract_all(x, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 18)) AS n_access, len(list_filter(regexp_extract_all(x, '[0-9a-f]+'), lambda v: length(v) >= 16)) AS n_hex FROM t"""
+
+_MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), {_WORDS})) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2e0 AS cap, sum(source_size) OVER () * 15e-1 AS total FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k, coalesce(sum(cap) OVER f, 0) AS full_cap, coalesce(sum(weight) OVER f, 0) AS full_weight, sum(weight) OVER () AS weights FROM w WINDOW f AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total - full_cap) / (weights - full_weight) AS level FROM r),
+c AS (SELECT arg_min(level, k) AS level FROM l WHERE level * weight <= cap),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM c) * weight, cap)) AS target FROM l)
+SELECT doc_id, size, source_size, round(target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+
+_SHARDS = """WITH s AS (SELECT doc_id, strlen(coalesce(text,'')) + 1 AS size FROM documents),
+b AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM s),
+p AS (SELECT *, least(7, floor((2 * before + size)::DOUBLE * 8 / (2e0 * total)))::INT AS shard FROM b)
+SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot FROM p"""
+
+_QUALITY = f"""WITH t AS (SELECT doc_id, coalesce(text,'') AS x, regexp_extract_all(coalesce(text,''), {_WORDS}) AS w FROM documents),
+win AS (SELECT doc_id, i, hash(w[i:i+4]) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w)-4)) AS i FROM t WHERE len(w) > 4)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (VALUES (0),(1),(2),(3),(4)) v(k) GROUP BY 1),
+ln AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, {_WORDS}) GROUP BY 1),
+c AS (SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars, len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, CAST(n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS INT) AS base_failed FROM c"""
+
 #: The others use hashes, checksums, compression, tokenizers or seeded choices that SQL lacks; tests/llm has plain versions.
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": _OP2, "op5_url_filter": _OP5}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": _OP2, "op5_url_filter": _OP5, "secret_base_counts": _SECRETS, "mix_targets": _MIX, "byte_shard_places": _SHARDS, "quality_base_counts": _QUALITY,
+}

@@ -44,5 +44,8 @@ def shards_by_bytes(docs: DataFrame, n_shards: int, size: Column, order: list[st
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write one folder per shard, rows in slot order within each file."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write one folder per shard. Its files hold ranges of slots in order, so a shard is written by many tasks.
+
+    All columns are written but shard, which the folders name; null values stay null, and an empty table gives no folders.
+    """
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

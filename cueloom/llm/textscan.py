@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 #: Bytes of text that are scanned at once; a longer text is scanned alone.
 SLICE_BYTES = 2 << 20
+#: Sums of powers modulo 2**64 can be made to collide by chosen texts of about a thousand bytes, so longer spans than this are hashed apart.
+LONG_SPAN = 512
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -81,7 +84,11 @@ class Slice:
             self._sums[lower] = sums
         s = self._sums[lower]
         h = (s[ends] - s[starts]) * _power("down", _INVERSE, len(self.data) + 1)[starts]
-        return mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(ends - starts > LONG_SPAN):
+            raw = self.data[starts[i] : ends[i]]
+            h[i] = int.from_bytes(blake2b((_LOWER[raw] if lower else raw).astype(np.uint8).tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends, lower)

@@ -4,10 +4,12 @@ import zlib
 from hashlib import sha256
 from random import Random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cueloom.llm import mixing, mpeg, packing, quality_bayes, sharding, url_filter
+from cueloom.llm.textscan import slices
 
 
 def texts_of(n, seed=3):
@@ -176,6 +178,60 @@ def test_few_labels_reject_bad_documents(spark):
     assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.95 * len(good), (sum(bad), len(bad), sum(good), len(good))
 
 
+def plain_sites(rows, prior):
+    """Host and path posteriors of (host, path, p), by the same formulas in plain Python."""
+    def moments(groups, mean, extra):
+        n = sum(len(g) for g in groups)
+        within = mean * (1 - mean)
+        scale = within * (n - extra - (len(groups) - 1))
+        return n, within, scale
+
+    def worth(spread, within, scale, groups):
+        rho = (spread - within * (groups - 1)) / scale if scale > 0 else 0.0
+        return 1 / min(max(rho, 1e-4), 0.5) - 1
+
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    everything = [p for *_, p in rows]
+    mean = sum(everything) / len(everything) if everything else prior
+    share = lambda g: sum(g) / len(g)
+    n, within, scale = moments(hosts.values(), mean, sum(len(g) ** 2 for g in hosts.values()) / len(everything))
+    host_m = worth(sum(len(g) * (share(g) - mean) ** 2 for g in hosts.values()), within, scale, len(hosts))
+    inner = sum(len(g) ** 2 / len(hosts[h]) for (h, _), g in paths.items())
+    groups = len(paths) - len(hosts) + 1
+    path_scale = within * (n - inner / n - (groups - 1))
+    path_m = worth(sum(len(g) * (share(g) - share(hosts[h])) ** 2 for (h, _), g in paths.items()), within, path_scale, groups)
+    host_post = {h: (sum(g) + host_m * mean) / (len(g) + host_m) for h, g in hosts.items()}
+    return {(h, q): (len(g), host_post[h], (sum(g) + path_m * host_post[h]) / (len(g) + path_m)) for (h, q), g in paths.items()}
+
+
+def test_site_posteriors_equal_plain_formulas(spark):
+    rng = Random(8)
+    rows = []
+    for h, base in [("a", 0.95), ("b", 0.4), ("c", 0.7), (None, 0.1)]:
+        for q, shift in [("x", 0.0), ("y", -0.3), (None, 0.04)]:
+            rows += [(h, q, float(rng.random() < min(1, max(0, base + shift)))) for _ in range(rng.choice([3, 40, 300]))]
+    got = {(r["host"], r["path"]): (r["n"], r["host_posterior"], r["path_posterior"]) for r in quality_bayes.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"), 0.5).collect()}
+    want = plain_sites(rows, 0.5)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    spread = [v[2] for v in got.values()]
+    assert max(spread) > 0.8 and min(spread) < 0.3  # sites differ, and so do their posteriors
+    few = [k for k in want if want[k][0] == 3]
+    assert all(abs(got[k][2] - got[k][1]) < abs(sum(p for h, q, p in rows if (h, q) == k) / 3 - got[k][1]) + 1e-12 for k in few)  # shrunk toward the host
+
+
+def test_site_decides_where_evidence_cannot(spark):
+    """The same text is kept on a good site and rejected on a bad one."""
+    text = "plain words that say nothing either way at all here"
+    rows = [(i, text, "good" if i % 2 else "bad", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality_bayes.judge(docs.unionByName(docs.where("doc_id = 399")), labels).collect()}
+    assert all(kept[i] == bool(i % 2) for i in range(400))
+
+
 def test_many_sites_take_the_salted_join(docs, spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     few = sorted(map(str, quality_bayes.judge(docs, labels).collect()))
@@ -277,5 +333,60 @@ def test_crossover_keeps_every_item_once():
     assert sorted(i for b in child for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 4096 for b in child)
 
 
+def hard_lengths():
+    """Lengths for bins of 1000 that best fit packs in 44 bins, though 36 hold them."""
+    return [510] * 24 + [270] * 24 + [260] * 24 + [230] * 48
+
+
+def test_crossover_and_migration_beat_best_fit(spark):
+    lengths = hard_lengths()
+    bins, room = [], []
+    packing.best_fit(list(range(len(lengths))), lengths, bins, room, 1000)
+    one = [packing.evolve(lengths, [], 1000, Random(f"{s}")) for s in range(3)]
+    moved = [packing.evolve(lengths, [one[i], one[i - 1]], 1000, Random(f"{i}x")) for i in range(3)]
+    assert len(bins) == 44 and min(map(len, one)) < 44 and min(map(len, moved)) < min(map(len, one))
+    assert all(sorted(i for b in x for i in b) == list(range(len(lengths))) and max(sum(lengths[i] for i in b) for b in x) <= 1000 for x in moved)
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    used = {e: packing.pack(rows, capacity=1000, epochs=e).select("sequence_id").distinct().count() for e in (1, 3)}
+    assert used[3] < used[1] < 44
+
+
+def test_token_ids_are_those_of_the_tokenizer():
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    texts = [
+        "", None, "Hello, WORLD's  end x", "a\u0301 b\u0301", "<|endoftext|> <|startoftext|>x foo<|ENDOFTEXT|>", "\u03a3\u0391\u03a3 \u03c2\x0b\x0cx\x85y", "x" * 5000, "dogs'. don't! a\u00bb., \u00e9.. \u00c9! \u00d7. x\u00d7.. 5. (a) a<|b|> <|endoftext|>... \u00bd! \u00b2?",
+        "x<", "|y endo <|", "\u65e5\u672c\u8a9e \u30c6\u30b9\u30c8 \u0308a", "\x1c\x1d a\u00a0b \u3000", "\u0130stanbul \u01c5", "1234 5a6'll I'LL don'T", "\U0001f642\U0001f642 " * 30, "\u1100\u1161\u11a8 \u1100 \u1161", "a. b. " * 40_000,
+    ]
+    for remembered in (packing.REMEMBERED, 5):
+        words = packing.WordIds(path, remembered)
+        for _ in range(2):
+            for s in slices(pa.array(texts), 3000):
+                ids, bounds = words.of(s, 1)
+                for r in range(len(s)):
+                    want = words.tokenizer.encode(texts[s.first + r] or "", add_special_tokens=False).ids
+                    assert ids[bounds[r] : bounds[r + 1]].tolist() == [*want, 1]
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, length long")).count() == 0
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+    assert mpeg.audio_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_are_written_by_many_tasks(docs, spark, tmp_path):
+    placed = sharding.shards_by_bytes(docs, 4, F.octet_length(F.coalesce("text", F.lit(""))) + 1, ["doc_id"], {"doc_id": F.col("doc_id"), "text": F.col("text")})
+    sharding.write_shards(placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, back.select(*placed.columns).collect())) == sorted(map(str, placed.collect()))
+    for folder in (tmp_path / "shards").glob("shard=*"):
+        parts = [[r["slot"] for r in spark.read.parquet(str(f)).collect()] for f in folder.glob("*.parquet")]
+        assert all(p == sorted(p) for p in parts)
+    sharding.write_shards(placed.where("false"), str(tmp_path / "none"))
+
+
+def test_many_sources_are_joined_by_shuffle(docs, monkeypatch):
+    key = lambda r: str(r)
+    few = sorted(mixing.choose_blocks(docs).collect(), key=key)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(mixing.choose_blocks(docs).collect(), key=key) == few
