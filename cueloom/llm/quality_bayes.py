@@ -177,7 +177,7 @@ def site_posteriors(evidence: DataFrame, prior: float) -> DataFrame:
 def _join_sites(rows: DataFrame, sites: DataFrame, host: str, path: str) -> DataFrame:
     """Rows with their site's posteriors: broadcast while sites are few, else salted."""
     sites = freeze(sites, "sites")
-    keys = F.struct(F.col(host).alias("host"), F.col(path).alias("path"))
+    keys = F.struct(F.col(host).alias("host"), F.col(path).alias("path"))  # whole, so nulls meet
     right = sites.select(F.struct("host", "path").alias("_site"), "host_posterior", "path_posterior")
     if sites.count() <= BROADCAST_PATHS:
         return rows.join(F.broadcast(right), keys.eqNullSafe(F.col("_site")), "left").drop("_site")
@@ -191,16 +191,15 @@ def own_labels(labels: DataFrame) -> DataFrame:
     return labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> tuple[np.ndarray, float, DataFrame]:
+def fit(classed: DataFrame, good: DataFrame) -> tuple[np.ndarray, float, DataFrame]:
     """(document evidence weights, global share of good documents, posteriors of each host and path).
 
-    labels has doc_id and quality (1 good, 0 bad); null or unknown documents' labels are ignored, and a document
-    with several has the lowest. Every document counts for its site: labelled ones as labelled, the others with
-    the probability that their own evidence and the global share give.
+    classed has doc_id, host, path and the classes of all documents, good a label (doc_id, quality) for some. Every
+    document counts for its site: labelled ones as labelled, the others with the probability that their own evidence
+    and the global share give.
     """
-    classed = freeze(_prepared(docs, [F.col("doc_id"), F.col(host), F.col(path)], ["doc_id", "host", "path"], None), "classes")
-    good = own_labels(labels).withColumnRenamed("quality", "_y")
-    labelled = classed.join(good.hint("merge"), "doc_id", "left")  # labels may be many: never broadcast
+    good = good.withColumnRenamed("quality", "_y")
+    labelled = classed.select("doc_id", "host", "path", "_new").join(good.hint("merge"), "doc_id", "left")  # labels may be many: never broadcast
     weights, share = fit_evidence(labelled, F.col("_y"))
     p = F.coalesce(F.col("_y").cast("double"), 1 / (1 + F.exp(-(_lookup(weights[None], F.lit(0)) + math.log(share / (1 - share))))))
     return weights, share, site_posteriors(labelled.select("host", "path", p.alias("p")), share)
@@ -214,24 +213,33 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     without labels only the sites' even odds are left and every document stays. Kept columns are shuffled only if there
     are more than BROADCAST_PATHS sites or BROADCAST_LABELS labels.
     """
-    rows, names = _judged(docs, labels, host, path, keep, threshold)
+    rows, names = _judged(docs, labels, host, path, keep, threshold, again=False)
     return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "evidence", "host_posterior", "path_posterior", "probability", "kept")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: tuple[str, ...], threshold: float) -> tuple[DataFrame, list[str]]:
-    """The judged rows with their keep columns under the returned names, which clash with nothing."""
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: tuple[str, ...], threshold: float, again: bool) -> tuple[DataFrame, list[str]]:
+    """The judged rows with their keep columns under the returned names, which clash with nothing.
+
+    The classes of all documents are written with their keep columns and scored from there; with again, the texts
+    are among these, so the documents are read and classed once more instead of being written twice.
+    """
     own = freeze(own_labels(labels), "labels", few=True)
-    weights, _, sites = fit(docs, own, host, path)
     names = [f"_k{i}" for i in range(len(keep))]
-    scored = _prepared(docs, [F.col("doc_id"), *map(F.col, keep), F.col(host), F.col(path)], ["_id", *names, "_h", "_p"], weights).withColumnRenamed("_new", "evidence")
+    sites_of, all_of = [F.col("doc_id"), F.col(host), F.col(path)], ["doc_id", "host", "path"]
+    classed = freeze(_prepared(docs, sites_of + ([] if again else [*map(F.col, keep)]), all_of + ([] if again else names), None), "classes")
+    weights, _, sites = fit(classed, own)
+    if again:
+        scored = _prepared(docs, [*sites_of, *map(F.col, keep)], [*all_of, *names], weights).withColumnRenamed("_new", "evidence")
+    else:
+        scored = classed.withColumn("evidence", _lookup(weights[None], F.lit(0))).drop("_new")
     own = own.select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("double").alias("_y"))
     own = F.broadcast(own) if own.count() <= BROADCAST_LABELS else own.hint("merge")
-    joined = _join_sites(scored, sites, "_h", "_p").join(own, F.col("_id") == F.col("_labelled"), "left")
+    joined = _join_sites(scored, sites, "host", "path").join(own, F.col("doc_id") == F.col("_labelled"), "left")
     probability = F.coalesce("_y", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior"))))))
     return joined.withColumn("probability", probability).withColumn("kept", F.col("probability") >= threshold - 1e-9), names  # even odds may round down
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    rows, names = _judged(docs, labels, host, path, tuple(docs.columns), THRESHOLD)
+    rows, names = _judged(docs, labels, host, path, tuple(docs.columns), THRESHOLD, again=True)
     return rows.where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
