@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from cueloom.llm.textscan import Slice, shingles, slices
 
 #: (texts of at least so many bytes, lowest and highest allowed ratio of compressed to raw bytes).
-DOCUMENT_BANDS = [(0, 0.0, 9.0), (128, 0.30, 1.05), (512, 0.28, 0.85), (2048, 0.25, 0.75), (8192, 0.20, 0.70), (65536, 0.15, 0.65)]
-#: The same for fixed chunks; a text fails when more than MAX_BAD_CHUNKS of its whole chunks do.
+#: Under 128 bytes zstandard's frame hides what is incompressible, so there is no upper limit.
+DOCUMENT_BANDS = [(0, 0.0, 9.0), (32, 0.45, 9.0), (128, 0.30, 1.05), (512, 0.28, 0.85), (2048, 0.25, 0.75), (8192, 0.20, 0.70), (65536, 0.15, 0.65)]
+#: The same for fixed chunks and for the last CHUNK_BYTES of a text that ends with a shorter one; a text fails when more
+#: than MAX_BAD_CHUNKS of them do, so one of fewer than ten chunks may have none.
 CHUNK_BYTES = 4096
 CHUNK_BAND = (0.20, 0.75)
-MAX_BAD_CHUNKS = 0.5
+MAX_BAD_CHUNKS = 0.1
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -62,12 +64,14 @@ def outside(ratio: float, low: float, high: float) -> bool:
 
 
 def judge(raw: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
-    """Ratio of the whole text, whole chunks, those outside their band, and whether the text stays."""
+    """Ratio of the whole text, chunks, those outside their band, and whether the text stays."""
     if not raw:
         return 1.0, 0, 0, True
     ratio = len(zstd.compress(raw)) / len(raw)
     low, high = next((lo, hi) for least, lo, hi in reversed(DOCUMENT_BANDS) if len(raw) >= least)
     chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    if len(raw) > CHUNK_BYTES and len(raw) % CHUNK_BYTES:
+        chunks.append(raw[-CHUNK_BYTES:])
     bad = sum(outside(len(zstd.compress(c)) / CHUNK_BYTES, *CHUNK_BAND) for c in chunks)
     return ratio, len(chunks), bad, not outside(ratio, low, high) and bad <= MAX_BAD_CHUNKS * len(chunks)
 
@@ -97,7 +101,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Judge every whole text by word and line counts and by its zstandard ratios.
 
     Uses doc_id and text; other columns are ignored. A null or empty text has no words, so it fails the base rule;
-    repeated rows are each judged. A long text's chunks all count, only a last part shorter than a chunk is left
-    to the ratio of the whole. No shuffle: each row is judged where it is read.
+    repeated rows are each judged. All chunks of a long text count, up to its end. No shuffle: each row is judged where it is read.
     """
     return docs.select("doc_id", "text").mapInArrow(_judged, SCHEMA)
