@@ -16,6 +16,8 @@ BLOCK_TOKENS = 64
 N_SHARDS = 8
 #: Documents of a source are dealt over so many buckets for their prefix sums, so that no task sees a whole source.
 BUCKETS = 256
+#: Sources up to which their plan (about 60 bytes each) is broadcast to their buckets; beyond, it is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 SPACES = r"[ \t\n\x0B\f\r]+"
 
 
@@ -108,7 +110,7 @@ def choose_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     give each source a whole number of blocks in every output shard; a seeded permutation of the source's blocks
     says which they are, as often as whole rounds allow and the first of the permutation once more. Prefix sums
     within a source run over buckets, so a source with a third of all rows is spread over BUCKETS tasks. The only
-    broadcast and single-task table has one row per source.
+    table that a single task sorts has one row per source; it is broadcast while there are few.
 
     Null texts have size 0 and are never taken; null sources form the last source; repeated rows are documents
     of their own. Returns keep, source, size, source_size, target, taken, and picks: for each block of the
@@ -120,7 +122,9 @@ def choose_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     plan = plan_sources(sizes, weights, share, max_epochs, block, n_shards)
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = buckets.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).select(F.struct("source", "_bucket").alias("_key"), "_base")
-    bases = bases.join(F.broadcast(plan.select(F.struct("source").alias("_s"), "source_size", "target", "blocks", "quota")), F.struct("_key.source").eqNullSafe(F.col("_s")))
+    plan = freeze(plan.select(F.struct("source").alias("_s"), "source_size", "target", "blocks", "quota"), "plan", few=True)
+    few = plan.count() <= BROADCAST_SOURCES
+    bases = bases.join(F.broadcast(plan) if few else plan, F.struct("_key.source").eqNullSafe(F.col("_s")))
     here = Window.partitionBy("source", "_bucket").orderBy("_order", "_row").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_before", F.sum("size").over(here) - F.col("size")).join(bases, F.struct("source", "_bucket").eqNullSafe(F.col("_key")))
     t = t.withColumn("_from", F.col("_base") + F.col("_before")).withColumn("_to", F.col("_from") + F.col("size"))
