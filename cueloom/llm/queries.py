@@ -17,7 +17,9 @@ LISTED_NAMES = r"(^|\.)(spam-farm|cheap-pills)\."
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A table. Where the session leaves the size of Arrow batches at Spark's default, it is lowered for long texts; another choice stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
