@@ -19,13 +19,14 @@ from cueloom.operators.folds import fold_groups
 def sentence_units(runs: DataFrame, max_chars: int = 140) -> DataFrame:
     """(video_id, run_id, start_s, end_s, unit_no, text) of runs: sentences, and pieces of those longer than max_chars.
 
-    start_s and end_s are still the run's. Only runs with a long sentence pass through Python.
+    start_s and end_s are still the run's. Sentences pass through Python once, in Arrow batches, and the runs are planned
+    once and stay where they were grouped.
     """
-    parts = runs.select("video_id", "run_id", "start_s", "end_s", F.posexplode(T.split_sentences(F.col("text"))).alias("_s", "text"))
-    short = parts.where(F.length("text") <= max_chars).withColumn("_p", F.lit(0))
-    long = parts.where(F.length("text") > max_chars).select("video_id", "run_id", "start_s", "end_s", "_s", F.posexplode(splitting.soft_split_column(max_chars)("text")).alias("_p", "text"))
+    parts = runs.select("video_id", "run_id", "start_s", "end_s", F.posexplode(T.split_sentences(F.col("text"))).alias("_s", "_text"))
+    parts = parts.withColumn("_pieces", splitting.long_split_column(max_chars)("_text"))
+    parts = parts.select("video_id", "run_id", "start_s", "end_s", "_s", F.posexplode("_pieces").alias("_p", "text"))
     order = Window.partitionBy("video_id", "run_id").orderBy("_s", "_p")
-    return short.unionByName(long).withColumn("unit_no", F.row_number().over(order).cast("long") - 1).drop("_s", "_p")
+    return parts.withColumn("unit_no", F.row_number().over(order).cast("long") - 1).drop("_s", "_p")
 
 
 def allocate_times(units: DataFrame) -> DataFrame:
