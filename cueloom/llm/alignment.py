@@ -16,7 +16,7 @@ from cueloom.checkpoints import freeze
 from cueloom.llm.textscan import Slice, slices
 
 #: Chunks of text whose ids a worker remembers (about 60 bytes each); longer ones than CHUNK_BYTES are tokenised wherever they stand.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 CHUNK_BYTES = 64
 #: New chunks are tokenised so many at a time, as one text.
 TOGETHER = 2000
@@ -242,25 +242,20 @@ class Written:
     """Groups in decimal: A ids, a bar, B ids, a semicolon."""
 
     def __init__(self, largest: int) -> None:
-        numbers, width = np.arange(largest + 1), len(str(largest))
-        powers = 10 ** np.arange(width - 1, -1, -1)
-        self.digits = np.full((largest + 1, width + 1), 48, np.uint8)
-        self.digits[:, :-1] += (numbers[:, None] // powers % 10).astype(np.uint8)
-        self.shown = np.ones((largest + 1, width + 1), bool)
-        self.shown[:, : width - 1] = numbers[:, None] >= powers[:-1]
-
-    def groups(self, ids: list[np.ndarray], closes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        self.largest = largest
+        shown = [str(i).encode() + mark for mark in (b",", b"|", b";") for i in range(largest + 1)]
+        self.sizes = np.array([len(x) for x in shown])
+        self.packed = np.array(shown, f"S{8 if self.sizes.max() <= 8 else 16}").view(np.uint64).reshape(len(shown), -1)
+
+    def groups(self, ids: list[np.ndarray], closes: list[np.ndarray]) -> tuple[bytes, np.ndarray]:
         """(bytes of all groups, number of bytes before each id and in all), ids in the order written."""
         ends = [np.flatnonzero(c) + 1 for c in closes]
         group = [np.cumsum(c) - c for c in closes]
-        place_a = np.arange(len(ids[0])) + np.concatenate([[0], ends[1]])[group[0]]
-        place_b = np.arange(len(ids[1])) + ends[0][group[1]]
-        flat, mark = np.zeros(len(place_a) + len(place_b), np.int64), np.zeros(len(place_a) + len(place_b), np.uint8)
-        flat[place_a], flat[place_b] = ids
-        mark[place_a], mark[place_b] = np.where(closes[0], 124, 44), np.where(closes[1], 59, 44)
-        digits, shown = self.digits[flat], self.shown[flat]
-        digits[:, -1] = mark
-        return digits[shown], np.concatenate([[0], np.cumsum(shown.sum(axis=1))])
+        codes = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+        codes[np.arange(len(ids[0])) + np.concatenate([[0], ends[1]])[group[0]]] = ids[0] + (self.largest + 1) * closes[0]
+        codes[np.arange(len(ids[1])) + ends[0][group[1]]] = ids[1] + (self.largest + 1) * 2 * closes[1]
+        flat = np.stack([column[codes] for column in self.packed.T], axis=1).view(np.uint8).ravel()
+        return flat[flat != 0].tobytes(), np.concatenate([[0], np.cumsum(self.sizes[codes])])
 
 
 _loaded: dict[tuple, tuple[TokenPairs, Written]] = {}
@@ -287,9 +282,8 @@ def _aligned(path_a: str, path_b: str):
                 doc = np.searchsorted(upto[0], link_a, "right") - 1
                 keys, times = np.unique((doc << PAIR_BITS) | (ids[0][link_a].astype(np.int64) * len(b.pieces) + ids[1][link_b]), return_counts=True)
                 pairs = np.searchsorted(keys >> PAIR_BITS, np.arange(n + 1)).astype(np.int32)
-                text, place = written.groups(ids, [closes_a, closes_b])
+                raw, place = written.groups(ids, [closes_a, closes_b])
                 cut = place[upto[0] + upto[1]]
-                raw = text.tobytes()
                 shas = [hashlib.sha256(raw[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 closed = np.concatenate([[0], np.cumsum(closes_a)])[upto[0]]
                 counts = [np.diff(upto[0]), np.diff(upto[1]), np.diff(closed), np.bincount(doc, minlength=n)[:n]]

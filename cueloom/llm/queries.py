@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import alignment, compression_bands, lattice_lm, mixing, mpeg, packing, partenum, quality_bayes, secrets, sharding, url_filter
+from cueloom.llm import alignment, compression_bands, conversation_trie, lattice_lm, mixing, mpeg, packing, partenum, quality_bayes, secrets, sharding, url_filter
 
 #: Rows of text in one Arrow batch, which bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 1000
@@ -73,6 +73,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,7 +104,7 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm, op13_tokenizer_alignment, secret_base_counts, mix_targets, byte_shard_places, quality_base_counts)
+    for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm, op12_conversation_trie, op13_tokenizer_alignment, secret_base_counts, mix_targets, byte_shard_places, quality_base_counts)
 }
 
 _OP2 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
@@ -152,7 +156,19 @@ c AS (SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, la
   FROM t LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
 SELECT *, CAST(n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS INT) AS base_failed FROM c"""
 
+_TRIE = """WITH t AS (SELECT conv_id, coalesce(text,'') AS text, coalesce(role,'') AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,'')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(sha256(concat(length(role), ':', role, text)) ORDER BY i) AS a, list(length(text) ORDER BY i) AS n FROM t GROUP BY 1),
+h AS (SELECT *, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+  lambda c, x: list_reduce(range(8), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(c, x)), 4294967295::BIGINT), 4294967295) % 6 AS h FROM o),
+r AS (SELECT h.conv_id, coalesce(list_concat(b.a[1:h.h], h.a[h.h+1:]), h.a[h.h+1:]) AS a, coalesce(list_concat(b.n[1:h.h], h.n[h.h+1:]), h.n[h.h+1:]) AS n FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, d, sha256(array_to_string(a[1:d], '')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(a[1:d-1], '')) END AS up, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS chars, d = len(a) AS ends FROM (SELECT *, unnest(generate_series(0, len(a))) AS d FROM r)),
+x AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM m GROUP BY 1, 2),
+c AS (SELECT up, count(*) AS n_children FROM x GROUP BY 1),
+y AS (SELECT x.*, coalesce(n_children, 0) AS n_children FROM x LEFT JOIN c ON c.up = x.k),
+s AS (SELECT m.d, m.k, sum(CASE WHEN y.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((y.n_convs - 1) * y.chars)::BIGINT AS saved_tokens FROM y JOIN m ON m.conv_id = y.conv_id AND m.d <= y.d GROUP BY 1, 2)
+SELECT y.conv_id, y.d AS depth, p.conv_id AS parent_conv_id, y.n_convs, y.n_children, s.n_leaves, s.saved_tokens, sha256(y.ids) AS ends_sha256 FROM y JOIN s ON s.d = y.d AND s.k = y.k LEFT JOIN y p ON p.k = y.up AND p.d = y.d - 1"""
+
 #: The others use hashes, checksums, compression, tokenizers or seeded choices that SQL lacks; tests/llm has plain versions.
 ORACLE_SQL: dict[str, str] = {
-    "op2_ngram_jaccard_join": _OP2, "op5_url_filter": _OP5, "secret_base_counts": _SECRETS, "mix_targets": _MIX, "byte_shard_places": _SHARDS, "quality_base_counts": _QUALITY,
+    "op2_ngram_jaccard_join": _OP2, "op5_url_filter": _OP5, "secret_base_counts": _SECRETS, "mix_targets": _MIX, "byte_shard_places": _SHARDS, "quality_base_counts": _QUALITY, "op12_conversation_trie": _TRIE,
 }

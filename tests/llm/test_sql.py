@@ -14,7 +14,7 @@ def test_query(spark, name):
     columns = sorted(frame.columns)
     found = sorted(tuple(str(r[c]) for c in columns) for r in frame.collect())
     with duckdb.connect() as duck:
-        for table in ("documents", "pages"):
+        for table in ("documents", "pages", "conversations"):
             duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
         result = duck.sql(queries.ORACLE_SQL[name])
         place = [result.columns.index(c) for c in columns]
