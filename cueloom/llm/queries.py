@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import alignment, compression_bands, conversation_trie, lattice_lm, mixing, mpeg, packing, partenum, quality_bayes, secrets, sharding, url_filter
+from cueloom.llm import alignment, compression_bands, conversation_trie, lattice_lm, mixing, mpeg, packing, partenum, quality_bayes, secrets, sharding, toxicity_cnn, url_filter
 
 #: Rows of text in one Arrow batch, which bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 1000
@@ -73,6 +73,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_nodes(read(spark, sf_dir, "conversations"))
 
@@ -104,7 +108,7 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm, op12_conversation_trie, op13_tokenizer_alignment, secret_base_counts, mix_targets, byte_shard_places, quality_base_counts)
+    for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_mpeg_audio, op4_sainte_lague_mix, op5_url_filter, op6_best_fit_packing, op7_byte_shards, op8_quality_bayes, op9_compression_bands, op10_lattice_lm, op11_toxicity_cnn, op12_conversation_trie, op13_tokenizer_alignment, secret_base_counts, mix_targets, byte_shard_places, quality_base_counts)
 }
 
 _OP2 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
