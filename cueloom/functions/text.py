@@ -145,3 +145,8 @@ def shorten_candidates(c: Column) -> Column:
     found = F.aggregate(steps, F.struct(c.alias("t"), F.array(c).alias("out")), shorten)["out"]
     compact = strip(F.regexp_replace(c, r"[，。！？、\s]+", "，"), "，")
     return F.filter(F.array_distinct(F.concat(found, F.array(compact))), lambda x: x != "")
+
+
+def line_hash(x: Column) -> Column:
+    """A hash that tells whether a stored line belongs to the same sentence; null counts as empty."""
+    return F.xxhash64(F.coalesce(x, F.lit("")))

@@ -124,13 +124,22 @@ def _asked(batched: DataFrame, fn: Callable[[str], str], concurrency: int) -> tu
     return real, replies.where("error is not null").select("video_id", "batch_no")
 
 
-def stored_lines(segments: DataFrame, store: str) -> DataFrame:
-    """(video_id, idx, zh, refill) of the lines of these segments that earlier runs stored and that are still real."""
-    lines = read_lines(segments.sparkSession, store)
+def stored_lines(segments: DataFrame, store: str, resets: DataFrame | None = None) -> DataFrame:
+    """(video_id, idx, zh, refill) of the lines of these segments that earlier runs stored and that are still real.
+
+    A line counts only if it was stored for the same sentence, so segments that were cut anew ask again, and only if it is younger than its
+    video's last reset. Lines stored without a sentence's hash count for any.
+    """
+    lines = read_lines(segments.sparkSession, store, resets)
     known = lines.join(segments.select("video_id", F.col("idx").cast("long").alias("idx"), "en"), ["video_id", "idx"])
+    known = known.where(F.col("en_hash").isNull() | (F.col("en_hash") == T.line_hash(F.col("en"))))
     return known.where(~T.is_blank(F.col("zh")) & ~T.is_untranslated(F.col("zh"), F.col("en"))).select("video_id", "idx", "zh", "refill")
 
 
+def _with_sentence(real: DataFrame, lines: DataFrame) -> DataFrame:
+    return real.join(lines.select("video_id", F.col("idx").cast("long").alias("idx"), "en"), ["video_id", "idx"])
+
+
 def pending_lines(batched: DataFrame, stored: DataFrame, size: int) -> DataFrame:
     """The lines of batches of which fewer than DONE_SHARE came from the main pass."""
     main = stored.where("not refill").select("video_id", F.floor(F.col("idx") / size).cast("long").alias("batch_no"))
@@ -139,16 +148,17 @@ def pending_lines(batched: DataFrame, stored: DataFrame, size: int) -> DataFrame
     return batched.join(done, ["video_id", "batch_no"], "left_anti")
 
 
-def translate(segments: DataFrame, fn: Callable[[str], str], size: int = BATCH_SIZE, concurrency: int = 2, store: str | None = None, waves: int = 1) -> DataFrame:
+def translate(segments: DataFrame, fn: Callable[[str], str], size: int = BATCH_SIZE, concurrency: int = 2, store: str | None = None, waves: int = 1, resets: DataFrame | None = None) -> DataFrame:
     """Real replies (video_id, idx, zh) of the main pass over all segments.
 
     Batches that fail altogether are asked again in batches of SMALL_BATCH lines. store is a folder that outlives the
     run: what earlier runs stored there is not asked for again, and what this one learns is added after each of its
-    waves of batches, so a run that is killed loses no more than one. Stored refills fill lines that the main pass lacks.
+    waves of batches, so a run that is killed loses no more than one. Stored refills fill lines that the main pass lacks. resets
+    has (video_id, reset_at): what a video's lines were before its last reset is asked for again.
     """
     batched = assign_batches(segments.withColumn("idx", F.col("idx").cast("long")), size)
     if store is not None:
-        batched = freeze(pending_lines(batched, stored_lines(segments, store), size).select("video_id", "idx", "en", "batch_no", "local_no"), "pending")
+        batched = freeze(pending_lines(batched, stored_lines(segments, store, resets), size).select("video_id", "idx", "en", "batch_no", "local_no"), "pending")
     found = None
     for wave in range(waves):
         now = batched.where(F.pmod(F.xxhash64("video_id", "batch_no"), F.lit(waves)) == wave) if waves > 1 else batched
@@ -160,9 +170,9 @@ def translate(segments: DataFrame, fn: Callable[[str], str], size: int = BATCH_S
         if not failed.isEmpty():
             real = real.unionByName(_asked(again.select("video_id", "idx", "en", "batch_no", "local_no"), fn, concurrency)[0])
         if store is not None:
-            append_lines(real, store, refill=False)
+            append_lines(_with_sentence(real, now), store, refill=False)
         found = real if found is None else found.unionByName(real)
-    return found if store is None else freeze(stored_lines(segments, store).drop("refill"), "stored")
+    return found if store is None else freeze(stored_lines(segments, store, resets).drop("refill"), "stored")
 
 
 def refill_rounds(segments: DataFrame, real: DataFrame, fn: Callable[[str], str], size: int = BATCH_SIZE, rounds: int = 2, concurrency: int = 2, store: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +190,7 @@ def refill_rounds(segments: DataFrame, real: DataFrame, fn: Callable[[str], str]
             break
         found, _ = _asked(assign_batches(numbered, min(size, SMALL_BATCH), "line_no"), fn, concurrency)
         if store is not None:
-            append_lines(found, store, refill=True)
+            append_lines(_with_sentence(found, numbered), store, refill=True)
         got = found.count()
         summary.append((turn, n, got))
         real = merge_refill(real, found)

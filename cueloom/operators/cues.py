@@ -48,6 +48,19 @@ def pause_runs(cues: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
     return runs.withColumn("text", T.normalize_cue_text(F.array_join(F.transform("_cues", lambda c: c["text"]), " "))).drop("_cues")
 
 
+def out_of_order(cues: DataFrame) -> DataFrame:
+    """(video_id, n_cues, n_backward, n_nested) of videos whose cues are not in order of time, which pause_runs takes for granted.
+
+    A cue is backward if it starts before the one before it, and nested if it ends before some earlier one does. Null times are
+    neither. One sort by video and cue serves both.
+    """
+    order = Window.partitionBy("video_id").orderBy("cue_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    told = cues.select("video_id", (F.col("start_s") < F.lag("start_s").over(order)).alias("_back"), (F.col("end_s") < F.max("end_s").over(before)).alias("_nested"))
+    out = told.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_cues"), F.count(F.when(F.col("_back"), 1)).alias("n_backward"), F.count(F.when(F.col("_nested"), 1)).alias("n_nested"))
+    return out.where("n_backward + n_nested > 0")
+
+
 def _fold(cues: DataFrame, step) -> DataFrame:
     """Fold each video's cues in order, numbering what comes out."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.schemas import STAGES
@@ -39,10 +39,24 @@ def next_pending(ledger: DataFrame) -> DataFrame:
     return latest_stage_status(ledger).groupBy("video_id").agg(F.min_by("stage", F.when(F.col("status").isin(*OPEN), F.col("ord"))).alias("next_stage"))
 
 
-def reset_from(ledger: DataFrame, videos: DataFrame, stage: str, seq: int) -> DataFrame:
-    """The ledger with pending rows appended for stage and all later ones of these videos."""
+def reset_from(ledger: DataFrame, videos: DataFrame, stage: str, seq: int, at: Column | None = None) -> DataFrame:
+    """The ledger with pending rows appended for stage and all later ones of these videos.
+
+    With at, rows carry that time (a timestamp) and older ones the ledger's own, null if it has none; last_resets()
+    finds it, and whoever reads what earlier runs stored leaves out what is older.
+    """
     later = all_stages(videos).where(F.col("ord") >= STAGES.index(stage))
-    return ledger.select("video_id", "ord", "seq", "status").unionByName(later.select("video_id", "ord", F.lit(seq).cast("long").alias("seq"), F.lit("pending").alias("status")))
+    columns, more = ["video_id", "ord", "seq", "status"], []
+    if at is not None:
+        ledger = ledger if "at" in ledger.columns else ledger.withColumn("at", F.lit(None).cast("timestamp"))
+        columns, more = [*columns, "at"], [at.alias("at")]
+    return ledger.select(*columns).unionByName(later.select("video_id", "ord", F.lit(seq).cast("long").alias("seq"), F.lit("pending").alias("status"), *more))
+
+
+def last_resets(ledger: DataFrame, stage: str) -> DataFrame:
+    """(video_id, reset_at): when each video was last sent back to this stage or to one before it."""
+    sent_back = (F.col("ord") == STAGES.index(stage)) & (F.col("status") == "pending") & F.col("at").isNotNull()  # a reset marks all later stages too
+    return ledger.where(sent_back).groupBy("video_id").agg(F.max("at").alias("reset_at"))
 
 
 def job_status(ledger: DataFrame) -> DataFrame:

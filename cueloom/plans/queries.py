@@ -19,6 +19,7 @@ from cueloom.plans import sql as D
 from cueloom.schemas import STAGES
 from cueloom.sinks import documents as K
 from cueloom.sources import captions, tables
+from cueloom.sources.lines import read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,6 +222,38 @@ def read_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(tables.read_segments(spark, path), "idx", "en", "zh", "note")
 
 
+def _written_files(rows: DataFrame, path: str) -> str:
+    """One JSON file for each video, of (video_id, a): indented, on one line, or a row to a line; every seventeenth is cut short."""
+    kind = F.pmod("video_id", F.lit(3))
+    text = F.when(kind == 0, F.to_json("a", {"pretty": "true"})).when(kind == 1, F.to_json("a")).otherwise(F.array_join(F.transform("a", lambda x: F.to_json(x)), "\n"))
+    cut = F.when(F.pmod("video_id", F.lit(17)) == 3, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text)
+    rows.select("video_id", cut.alias("value")).write.partitionBy("video_id").text(path)
+    return path
+
+
+def _segment_files(spark: SparkSession, sf: str) -> str:
+    row = F.struct("idx", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "en", "zh", "note", F.lit("unknown").alias("extra"))
+    return _written_files(_segments(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("a")), _new_path(spark, "segment_files"))
+
+
+@register("read_segment_files", f"{X.duck('segments')} SELECT video_id, CAST(idx AS INT) AS idx, {_MS}, en, zh, note FROM segments WHERE video_id%17<>3")
+def read_segment_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _ms(tables.read_segments(spark, _segment_files(spark, sf), strict=False), "idx", "en", "zh", "note")
+
+
+@register("unreadable_files", f"{X.duck()} SELECT DISTINCT video_id FROM cues WHERE video_id%17=3")
+def unreadable_files(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.unreadable_files(spark, _segment_files(spark, sf)).select(F.regexp_extract("path", r"video_id=(\d+)/", 1).cast("long").alias("video_id"))
+
+
+@register("read_cue_files", f"{X.duck()} SELECT video_id, cue_no, {_MS}, text FROM cues WHERE video_id%17<>3")
+def read_cue_files(spark: SparkSession, sf: str) -> DataFrame:
+    row = F.struct("cue_no", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text")
+    rows = X.cues(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("a"))
+    nameless = rows.withColumn("a", F.transform("a", lambda x: x.dropFields("cue_no")))
+    return _ms(tables.read_cues(spark, _written_files(nameless, _new_path(spark, "cue_files")), strict=False), "cue_no", "text")
+
+
 @register("read_url_list", f"WITH l AS ({X.DUCK_URL_LINES}), u AS (SELECT line_no, trim(split_part(trim(line), ' #', 1)) AS url FROM l WHERE trim(line)<>'' AND NOT starts_with(trim(line),'#')) SELECT url, min(line_no) AS line_no FROM u WHERE url<>'' GROUP BY 1")
 def read_url_list(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_url_list(X.url_lines(spark, sf))
@@ -329,6 +362,24 @@ def build_requests(spark: SparkSession, sf: str) -> DataFrame:
     return batches.build_requests(batches.assign_batches(_lines_of(spark, sf)))
 
 
+_AGES = "['2024-03-01 00:00:00','2024-03-02 00:00:00','2024-03-03 00:00:00']"
+
+
+@register("lines_since_reset", f"""{X.duck()}, st AS (SELECT video_id, cue_no AS idx, k, (cue_no+k)%2=0 AS refill, ({_AGES})[(cue_no*2+video_id+k)%3+1]::TIMESTAMP AS written_at, concat('译', CAST(k AS VARCHAR), text) AS zh FROM cues CROSS JOIN (VALUES (0),(1)) v(k)),
+resets AS (SELECT DISTINCT video_id, CASE WHEN video_id%4=0 THEN '2024-03-02 00:00:00'::TIMESTAMP END AS reset_at FROM cues WHERE video_id%2=0),
+fresh AS (SELECT st.* FROM st LEFT JOIN resets r ON r.video_id=st.video_id WHERE r.reset_at IS NULL OR written_at>reset_at)
+SELECT video_id, idx, zh, CAST(refill AS INT) AS refill FROM fresh QUALIFY row_number() OVER (PARTITION BY video_id, idx ORDER BY refill, written_at DESC, zh)=1""")
+def lines_since_reset(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored lines of three ages; some videos were sent back to translate between them, others to a later stage or never."""
+    path = _new_path(spark, "lines")
+    stored = spark.sql(f"SELECT video_id, cue_no AS idx, concat('译', CAST(k AS STRING), text) AS zh, (cue_no+k)%2=0 AS refill, CAST(element_at(array{_AGES.replace('[', '(').replace(']', ')')}, CAST((cue_no*2+video_id+k)%3+1 AS INT)) AS TIMESTAMP) AS written_at, CAST(NULL AS BIGINT) AS en_hash, CAST(video_id%64 AS INT) AS bucket FROM {{cues}} CROSS JOIN (VALUES (0),(1)) v(k)", cues=X.cues(spark, sf))
+    stored.write.partitionBy("bucket").parquet(path)
+    videos = X.cues(spark, sf).select("video_id").distinct()
+    log = ledger.reset_from(_ledger(spark, sf), videos.where("video_id%4=0"), "prepare_cues", 100, F.lit("2024-03-02").cast("timestamp"))
+    log = ledger.reset_from(log, videos.where("video_id%4=2"), "tts", 101, F.lit("2024-03-04").cast("timestamp"))
+    return read_lines(spark, path, ledger.last_resets(log, "translate")).select("video_id", "idx", "zh", F.col("refill").cast("int").alias("refill"))
+
+
 @register("split_failed", f"{_REPLIES}, b AS (SELECT video_id, cue_no, CAST(floor(cue_no/100) AS BIGINT) AS batch_no, cue_no%100+1 AS local_no, count(*) OVER (PARTITION BY video_id, CAST(floor(cue_no/100) AS BIGINT)) AS n FROM cues) SELECT b.video_id, b.cue_no AS idx, b.batch_no, CAST(floor((local_no-1)/40) AS BIGINT) AS sub_no, (local_no-1)%40+1 AS sub_local_no FROM b JOIN covered c ON c.video_id=b.video_id AND c.batch_no=b.batch_no WHERE n>40 AND (c.expected-c.got)/greatest(1,c.expected) > 5e-2")
 def split_failed(spark: SparkSession, sf: str) -> DataFrame:
     replies, lines, real = _real(spark, sf)
@@ -373,6 +424,22 @@ def pause_runs(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(cues.pause_runs(X.cues(spark, sf)), "run_id", "n_cues", "text")
 
 
+@register("runs_of_ordered_cues", f"{X.duck()}, {_RUNS} SELECT video_id, run_id, n_cues, text, {_MS} FROM runs")
+def runs_of_ordered_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs from a table that is dealt and sorted by video: nothing is shuffled by video_id any more."""
+    import uuid
+
+    return _ms(cues.pause_runs(K.write_ordered(X.cues(spark, sf), f"cueloom_cues_{uuid.uuid4().hex}", "cue_no", buckets=8)), "run_id", "n_cues", "text")
+
+
+_MOVED = "SELECT video_id, seq AS cue_no, CASE WHEN (seq+video_id)%31=30 THEN start_s-5e0 ELSE start_s END AS start_s, end_s FROM {clips}"
+
+
+@register("out_of_order", f"{X.duck('clips')}, moved AS ({_MOVED.replace('{clips}', 'clips')}), told AS (SELECT video_id, start_s < lag(start_s) OVER o AS back, end_s < max(end_s) OVER (PARTITION BY video_id ORDER BY cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nested FROM moved WINDOW o AS (PARTITION BY video_id ORDER BY cue_no)) SELECT * FROM (SELECT video_id, count(*) AS n_cues, count(*) FILTER (back) AS n_backward, count(*) FILTER (nested) AS n_nested FROM told GROUP BY 1) WHERE n_backward+n_nested>0")
+def out_of_order(spark: SparkSession, sf: str) -> DataFrame:
+    return cues.out_of_order(spark.sql(_MOVED, clips=X.derived(spark, sf, "clips")))
+
+
 _FOLD_MS = f"{D.millis('c.s')} AS start_ms, {D.millis('c.e')} AS end_ms"
 
 

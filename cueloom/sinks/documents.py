@@ -54,22 +54,36 @@ def write_documents(documents: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def write_segments(segments: DataFrame, path: str, buckets: int = 64, fmt: str = "parquet") -> None:
-    """Segments as Parquet (or JSON) in folders by a bucket of video_id."""
-    segments.withColumn("bucket", F.pmod("video_id", F.lit(buckets))).repartition("bucket").sortWithinPartitions("video_id", "idx").write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
+    """Segments as Parquet (or JSON) in folders by a bucket of video_id, in order within files; as many tasks write a folder as its rows need."""
+    dealt = segments.withColumn("bucket", F.pmod("video_id", F.lit(buckets))).repartitionByRange("bucket", "video_id", "idx")
+    dealt.sortWithinPartitions("bucket", "video_id", "idx").write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
 
 
 def write_cues(cues: DataFrame, path: str) -> None:
     cues.repartition("video_id").sortWithinPartitions("video_id", "cue_no").write.mode("overwrite").parquet(path)
 
 
+def write_ordered(rows: DataFrame, table: str, order: str, buckets: int = 64, key: str = "video_id") -> DataFrame:
+    """Rows as a table of the catalog, dealt to buckets by key and sorted by key and order within files; the table.
+
+    What works on each video by itself (windows, groupings and joins on key) reads the table without a shuffle: the plan's
+    partitions are the buckets. Rows are dealt to tasks by ranges of bucket, key and order, so a bucket is written by as
+    many tasks as its rows need, and a task writes few files.
+    """
+    bucket = F.pmod(F.hash(key), F.lit(buckets))  # the writer's own rule
+    dealt = rows.repartitionByRange(bucket, key, order)
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, order).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def write_batch_replies(replies: DataFrame, path: str, buckets: int = 64) -> None:
     """Append replies (video_id, batch_no, ...) with the time of writing; latest_replies() reads each batch's last."""
     replies.withColumns({"written_at": F.current_timestamp(), "bucket": F.pmod("video_id", F.lit(buckets))}).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def append_lines(lines: DataFrame, path: str, refill: bool, buckets: int = 64) -> None:
-    """Append translated lines (video_id, idx, zh) with the time of writing, and whether a refill gave them; read_lines() reads them."""
-    rows = lines.select("video_id", F.col("idx").cast("long").alias("idx"), "zh", F.lit(refill).alias("refill"), F.current_timestamp().alias("written_at"))
+    """Append translated lines (video_id, idx, zh, and en if known) with the time of writing, and whether a refill gave them; read_lines() reads them."""
+    rows = lines.select("video_id", F.col("idx").cast("long").alias("idx"), "zh", F.lit(refill).alias("refill"), F.current_timestamp().alias("written_at"), (T.line_hash(F.col("en")) if "en" in lines.columns else F.lit(None).cast("long")).alias("en_hash"))
     rows.withColumn("bucket", F.pmod("video_id", F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
 
 

@@ -1,9 +1,12 @@
 """Operators over cues, segments, replies, trials, clips, files and the ledger."""
 
+import json
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from cueloom.checkpoints import freeze
 from cueloom.functions import timing
 from cueloom.operators import batches, cues, fit, ledger, quality, segments, timeline
 from cueloom.schemas import CUES
@@ -279,3 +282,71 @@ def test_short_outputs(spark):
     rows = spark.createDataFrame([(100.0, 100.0), (95.0, 100.0), (100.3, 100.0)], "o double, s double")
     got = rows.select(timing.is_truncated(rows.o, rows.s), timing.cover_missing(rows.o, rows.s)).collect()
     assert [tuple(r) for r in got] == [(False, True), (True, False), (False, True)]
+
+
+def test_json_files_of_all_layouts(spark, tmp_path):
+    rows = [{"idx": n, "start": n * 1.5, "end": n + 1.0, "en": f"line {n} [é]", "zh": "", "other": [1, {"a": "}"}]} for n in range(4)]
+    for video, text in ((1, json.dumps(rows, indent=2)), (2, json.dumps(rows)), (3, "\n".join(map(json.dumps, rows)) + "\n\n"), (4, "[]"), (5, "  \n" + json.dumps(rows, indent=1)), (6, '{"idx": 0, "start": 0.5, "video_id": 60}')):
+        (tmp_path / "good" / str(video)).mkdir(parents=True)
+        (tmp_path / "good" / str(video) / "segments.json").write_text(text)
+    found = {}
+    for r in tables.read_segments(spark, f"file://{tmp_path}/good").collect():
+        found.setdefault(r["video_id"], []).append((r["idx"], r["start_s"], r["end_s"], r["en"], r["zh"], r["audio"]))
+    want = [(r["idx"], r["start"], r["end"], r["en"], "", None) for r in rows]
+    assert {v: sorted(x) for v, x in found.items()} == {1: want, 2: want, 3: want, 5: want, 60: [(0, 0.5, None, None, None, None)]}
+    cues_read = tables.read_cues(spark, f"file://{tmp_path}/good/2").collect()
+    assert [(r["video_id"], r["cue_no"], r["start_s"]) for r in sorted(cues_read, key=lambda r: r["cue_no"])] == [(2, n, n * 1.5) for n in range(4)]
+
+
+def test_bad_json_is_told_and_never_empty(spark, tmp_path):
+    whole = json.dumps([{"idx": 1, "start": 0.5}, {"idx": 2, "start": 1.5}], indent=2)
+    for n, text in enumerate([whole[:-2], whole[:30], "", "not json", '{"idx": 1}\n{"idx": ', '"text"', "[1, 2]", whole]):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "segments.json").write_text(text)
+    bad = sorted(int(r["path"].split("/")[-2]) for r in tables.unreadable_files(spark, f"file://{tmp_path}").collect())
+    assert bad == list(range(7))
+    assert {r["video_id"] for r in tables.read_segments(spark, f"file://{tmp_path}", strict=False).collect()} == {7}
+    with pytest.raises(Exception, match="no JSON rows"):
+        tables.read_segments(spark, f"file://{tmp_path}").collect()
+
+
+def test_reset_asks_for_every_line_again(spark, tmp_path):
+    fn, asked = counted(tmp_path / "calls", forgetful())
+    table, store = lines(spark, 6), f"file://{tmp_path}/store"
+    first = batches.translate(table, fn, store=store).count()
+    n = len(asked())
+    log = spark.createDataFrame([(1, 4, 1, "done")], "video_id long, ord int, seq long, status string")
+    none = ledger.last_resets(ledger.reset_from(log, log, "tts", 2, F.current_timestamp()), "translate")
+    assert none.count() == 0 and batches.translate(table, fn, store=store, resets=none).count() == first and len(asked()) == n
+    resets = freeze(ledger.last_resets(ledger.reset_from(log, log, "merge", 2, F.current_timestamp()), "translate"))
+    assert batches.translate(table, fn, store=store, resets=resets).count() == first and len(asked()) == 2 * n
+    assert batches.translate(table, fn, store=store, resets=resets).count() == first and len(asked()) == 2 * n  # what was learned since counts
+    other = table.withColumn("en", F.concat(F.lit("cut anew "), "en"))
+    batches.translate(other, fn, store=store)
+    assert len(asked()) == 3 * n
+
+
+def test_ordered_tables_need_no_shuffle_by_video(spark):
+    rows = spark.range(3000).select((F.col("id") % 70).alias("video_id"), (F.col("id") * 7 % 3001).alias("cue_no"), (F.col("id") * 1.0).alias("start_s"), (F.col("id") + 0.5).alias("end_s"), F.lit("some text.").alias("text"))
+    table = documents.write_ordered(rows, "ordered_cues_test", "cue_no", buckets=6)
+    try:
+        plain = cues.pause_runs(rows)
+        frame = cues.pause_runs(table)
+        assert sorted(map(str, frame.collect())) == sorted(map(str, plain.collect()))
+        for made in (frame, cues.out_of_order(table), segments.renumber(table, ["cue_no"], "n")):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning(video_id" not in plan and "Exchange" not in plan, plan
+        assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+        from pathlib import Path
+        from urllib.parse import urlparse
+
+        files = [Path(urlparse(f).path) for f in table.inputFiles()]
+        assert len({f.name.split("_")[1].split(".")[0] for f in files}) == 6
+    finally:
+        spark.sql("DROP TABLE ordered_cues_test")
+
+
+def test_cues_out_of_order_are_told(spark):
+    rows = [(1, 0, 0.0, 1.0), (1, 1, 1.0, 2.0), (2, 0, 0.0, 9.0), (2, 1, 1.0, 2.0), (2, 2, 0.5, 10.0), (3, 0, None, 1.0), (3, 1, 0.0, None), (4, 0, 1.0, 2.0), (4, 1, 1.0, 2.0)]
+    found = cues.out_of_order(spark.createDataFrame([(*r, "x") for r in rows], "video_id long, cue_no long, start_s double, end_s double, text string")).collect()
+    assert [tuple(r) for r in found] == [(2, 3, 1, 1)]
