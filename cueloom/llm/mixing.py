@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze
+from cueloom.llm.columns import set_aside
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -68,17 +69,17 @@ def apportion(table: DataFrame, votes: str, seats: str, by: str) -> DataFrame:
 
 
 def plan_sources(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int, block: int, n_shards: int) -> DataFrame:
-    """One row per source: source_size, target, blocks, quota of blocks in all and shard_quotas, those of each output shard."""
+    """One row per source: source_size, target, blocks, quota of blocks in all and shard_ends, how many of them the first output shard, the first two and so on get."""
     t = targets(sizes, weights, share, max_epochs)
     houses = t.withColumn("_shard", F.explode(F.sequence(F.lit(1), F.lit(n_shards))))
     seats = F.round(F.sum("target").over(Window.partitionBy("_shard")) / block * F.col("_shard") / n_shards).cast("long")
     dealt = apportion(houses.withColumn("_seats", seats), "target", "_seats", "_shard")
     so_far = F.transform(F.array_sort(F.collect_list(F.struct("_shard", "quota"))), lambda s: s["quota"])
     dealt = dealt.groupBy("source").agg(F.max("quota").alias("quota"), so_far.alias("_so_far"))
-    dealt = dealt.withColumn("shard_quotas", F.transform("_so_far", lambda q, i: q - F.when(i > 0, F.get("_so_far", i - 1)).otherwise(0)))
     t = t.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     joined = t.join(dealt.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("quota", F.least("quota", F.col("blocks") * max_epochs)).drop("_source", "_so_far")
+    most = F.col("blocks") * max_epochs
+    return joined.withColumns({"quota": F.least("quota", most), "shard_ends": F.transform("_so_far", lambda q: F.least(q, most))}).drop("_source", "_so_far")
 
 
 #: Multipliers of the block permutation; one that shares no factor with the number of blocks is used.
@@ -89,7 +90,7 @@ def _place(block_no: Column, blocks: Column, seed: Column) -> Column:
     """Where a block stands in its source's seeded order: a permutation of 0 to blocks - 1."""
     factor = None
     for p in _PRIMES:
-        test = F.lit(p) % blocks != 0
+        test = blocks % p != 0  # p is prime, so it shares no factor with what it does not divide
         factor = F.when(test, F.lit(p) % blocks) if factor is None else factor.when(test, F.lit(p) % blocks)
     step = F.coalesce(factor, F.lit(1))
     product = block_no.cast("decimal(19,0)") * step.cast("decimal(19,0)") + F.pmod(seed, blocks).cast("decimal(19,0)")
@@ -107,14 +108,14 @@ def choose_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     """What the mix takes of each document.
 
     A source's documents, in a seeded order, form one stream of words cut into equal blocks. Highest quotients
-    give each source a whole number of blocks in every output shard; a seeded permutation of the source's blocks
-    says which they are, as often as whole rounds allow and the first of the permutation once more. Prefix sums
+    give each source a whole number of blocks in every output shard. A seeded permutation of the source's blocks,
+    gone through again in each round, is dealt to the shards in order: each takes as many of the next blocks as its quota says. Prefix sums
     within a source run over buckets, so a source with a third of all rows is spread over BUCKETS tasks. The only
     table that a single task sorts has one row per source; it is broadcast while there are few.
 
     Null texts have size 0 and are never taken; null sources form the last source; repeated rows are documents
     of their own. Returns keep, source, size, source_size, target, taken, and picks: for each block of the
-    document, (start, length) in words and how often it is taken (rounds).
+    document, (start, length) in words, how often it is taken (rounds) and for which shard each time (shards).
     """
     t = sized(docs, seed, list(keep)).withColumn("_bucket", F.pmod("_order", F.lit(BUCKETS)).cast("int"))
     buckets = t.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
@@ -122,7 +123,7 @@ def choose_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     plan = plan_sources(sizes, weights, share, max_epochs, block, n_shards)
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = buckets.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).select(F.struct("source", "_bucket").alias("_key"), "_base")
-    plan = freeze(plan.select(F.struct("source").alias("_s"), "source_size", "target", "blocks", "quota"), "plan", few=True)
+    plan = freeze(plan.select(F.struct("source").alias("_s"), "source_size", "target", "blocks", "quota", "shard_ends"), "plan", few=True)
     few = plan.count() <= BROADCAST_SOURCES
     bases = bases.join(F.broadcast(plan) if few else plan, F.struct("_key.source").eqNullSafe(F.col("_s")))
     here = Window.partitionBy("source", "_bucket").orderBy("_order", "_row").rowsBetween(Window.unboundedPreceding, 0)
@@ -132,8 +133,11 @@ def choose_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
 
     def pick(b: Column) -> Column:
         start = F.greatest(b * block, F.col("_from"))
-        rounds = F.floor(F.col("quota") / F.col("blocks")) + F.when(_place(b, F.col("blocks"), seeded) < F.col("quota") % F.col("blocks"), 1).otherwise(0)
-        return F.struct((start - F.col("_from")).alias("start"), (F.least((b + 1) * block, F.col("_to")) - start).alias("length"), rounds.cast("long").alias("rounds"))
+        place = _place(b, F.col("blocks"), seeded)
+        rounds = (F.floor(F.col("quota") / F.col("blocks")) + F.when(place < F.col("quota") % F.col("blocks"), 1).otherwise(0)).cast("long")
+        shard_of = lambda turn: F.size(F.filter("shard_ends", lambda end: end <= place + turn * F.col("blocks")))
+        shards = F.when(rounds > 0, F.transform(F.sequence(F.lit(0).cast("long"), rounds - 1), shard_of)).otherwise(F.array().cast("array<int>"))
+        return F.struct((start - F.col("_from")).alias("start"), (F.least((b + 1) * block, F.col("_to")) - start).alias("length"), rounds.alias("rounds"), shards.alias("shards"))
 
     first, last = F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block)
     picks = F.when(F.col("size") > 0, F.transform(F.sequence(first, last), pick)).otherwise(F.array())
@@ -142,16 +146,22 @@ def choose_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     return t.withColumn("taken", taken).select(*keep, "source", "size", "source_size", "target", "taken", "picks")
 
 
+def shard_words(picks: Column, n_shards: int = N_SHARDS) -> Column:
+    """How many words each output shard takes, of a document's picks."""
+    of = lambda shard: F.aggregate(picks, F.lit(0).cast("long"), lambda a, p: a + p["length"] * F.size(F.filter(p["shards"], lambda s: s == shard)))
+    return F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), of)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of docs, one row per document and round that takes words of it.
 
     A round that takes every word keeps the text as it is; otherwise the text is the taken words, joined by
     single spaces. The rows meet their picks by doc_id, source and text hash; equal rows get equal numbers of
-    picks, told apart by their number among equals.
+    picks, told apart by their number among equals. Other columns may have any names and stay as they are.
     """
-    columns = docs.columns
+    kept, names = set_aside(docs)
     key = ["doc_id", "_hash"]
-    tagged = docs.withColumn("_hash", F.xxhash64("text", "source"))
+    tagged = docs.select(*kept, "doc_id", "source", "text").where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).withColumn("_hash", F.xxhash64("text", "source"))  # others are never taken
     numbered = tagged.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
     chosen = choose_blocks(tagged, keep=("doc_id", "_hash"), **options).where("taken > 0").select("doc_id", "_hash", "size", "picks")
     chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json("picks"))))
@@ -164,6 +174,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     part = F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
     mixed = mixed.withColumn("_words", F.when(F.col("_len") < F.col("_c_size"), words))
     mixed = mixed.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(part))
-    if "n_chars" in columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return mixed.select(*columns)
+    return mixed.select(*_put_back(docs, names, {"text": F.col("text"), "n_chars": F.length("text")}))
+
+
+def _put_back(docs: DataFrame, names: list[str], changed: dict[str, Column]) -> list[Column]:
+    """The columns of docs under their own names and types again, some with new values."""
+    return [(changed[c].cast(t) if c in changed else F.col(n)).alias(c) for (c, t), n in zip(docs.dtypes, names, strict=True)]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze, release
+from cueloom.llm.columns import every, set_aside
 from cueloom.llm.components import components
 from cueloom.llm.textscan import mix, shingles, slices
 
@@ -593,16 +594,16 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     named = info.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("key").alias("key"), F.max("n").alias("n"))
     named = freeze(named, "named", few=True)
     dropped = freeze(named.where("_rows = 1 and n > 0").join(winners, ["doc_id", "key"], "left_anti").select("doc_id"), "dropped", few=True)
-    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*every(docs))
     repeated = named.where("_rows > 1").select("doc_id")
     n_repeated = repeated.count()
     if not n_repeated and info.where("doc_id is null").isEmpty():
         return kept
     repeated = F.broadcast(repeated) if n_repeated <= BROADCAST_IDS else repeated
-    plain = kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    odd = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    plain = kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*every(docs))
+    odd = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*every(docs)))
     names = [f"_k{i}" for i in range(len(docs.columns))]
-    odd = odd.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").alias("_text"))
+    odd = odd.select(F.col("doc_id").alias("_id"), *set_aside(docs)[0], F.col("text").alias("_text"))
     odd = odd.mapInArrow(_keyed(clashing), ", ".join(f"`{n}` {t}" for n, t in odd.dtypes) + ", _key long")
     won = winners.select(F.col("doc_id").alias("_won"), F.col("key").alias("_won_key"))
     first = Window.partitionBy("_id", "_key").orderBy("_text")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze
+from cueloom.llm.columns import exact
 from cueloom.llm.compression_bands import repeat_words
 from cueloom.llm.textscan import slices
 
@@ -226,10 +227,10 @@ def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: tupl
     own = freeze(own_labels(labels), "labels", few=True)
     names = [f"_k{i}" for i in range(len(keep))]
     sites_of, all_of = [F.col("doc_id"), F.col(host), F.col(path)], ["doc_id", "host", "path"]
-    classed = freeze(_prepared(docs, sites_of + ([] if again else [*map(F.col, keep)]), all_of + ([] if again else names), None), "classes")
+    classed = freeze(_prepared(docs, sites_of + ([] if again else [*map(exact, keep)]), all_of + ([] if again else names), None), "classes")
     weights, _, sites = fit(classed, own)
     if again:
-        scored = _prepared(docs, [*sites_of, *map(F.col, keep)], [*all_of, *names], weights).withColumnRenamed("_new", "evidence")
+        scored = _prepared(docs, [*sites_of, *map(exact, keep)], [*all_of, *names], weights).withColumnRenamed("_new", "evidence")
     else:
         scored = classed.withColumn("evidence", _lookup(weights[None], F.lit(0))).drop("_new")
     own = own.select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("double").alias("_y"))

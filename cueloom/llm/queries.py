@@ -37,7 +37,8 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.choose_blocks(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    chosen = mixing.choose_blocks(read(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", "size", "source_size", "target", "taken", mixing.shard_words(F.col("picks")).alias("shard_words"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

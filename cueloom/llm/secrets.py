@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze
+from cueloom.llm.columns import set_aside
 
 # Fixed patterns, as the query states them; a match counts if the tested part is long enough.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -122,13 +123,16 @@ def secret_scan(docs: DataFrame, repo: Column | None = None, owner: Column | Non
 def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The same rows and columns with every live-looking span of the text replaced by mask; spans that overlap are masked as one.
 
-    Rows without any candidate pass straight through. The others meet their spans by doc_id and text hash, both
-    of which may repeat: equal rows have equal spans, so one set of spans per pair is joined.
+    Rows without any candidate pass straight through. The others meet their spans by doc_id and the text's 128-bit digest, both
+    of which may repeat: equal rows have equal spans, so one set of spans per pair is joined. Other columns may have any
+    names and stay as they are.
     """
-    columns = docs.columns
-    key = F.xxhash64("doc_id", "text").alias("_key")
-    tagged = docs.where(has_candidate(F.col("text"))).withColumn("_key", key)
-    spans = secret_scan(tagged, keep=("doc_id", "_key"), max_owners=max_owners).where("n_live > 0").groupBy("_key").agg(F.first("live").alias("_live"))
+    own, names = set_aside(docs)
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))
+    hits = docs.where(has_candidate(F.col("text")))
+    tagged = hits.select(*own, F.col("text").alias("text"), key.alias("_key"))
+    scanned = secret_scan(hits.select("doc_id", "source", "text", key.alias("_key")), keep=("doc_id", "_key"), max_owners=max_owners)
+    spans = scanned.where("n_live > 0").groupBy("_key").agg(F.first("live").alias("_live"))
     by_start = Window.partitionBy("_key").orderBy("start", "end")
     spans = spans.select("_key", F.explode("_live").alias("_s")).select("_key", "_s.start", "_s.end").withColumn("_from", F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
     opens = F.coalesce(F.col("start") >= F.col("_from"), F.lit(True))
@@ -138,6 +142,12 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = MAX_OWNERS
     parts = F.array_join(F.transform("_at", lambda s: F.concat(F.substr(text, (s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.lit(mask))), "")
     masked = tagged.join(spans, "_key", "left")
     masked = masked.withColumn("text", F.when(F.col("_last").isNull(), text).otherwise(F.concat(parts, F.substr(text, (F.col("_last") + 1).cast("int")))))
-    if "n_chars" in columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("_last").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return docs.where(~has_candidate(text)).unionByName(masked.select(*columns))
+    back = []
+    for (c, kind), n in zip(docs.dtypes, names, strict=True):
+        value = F.col(n)
+        if c == "text":
+            value = text
+        if c == "n_chars":
+            value = F.when(F.col("_last").isNull(), value).otherwise(F.length("text").cast(kind))
+        back.append(value.alias(c))
+    return docs.where(~has_candidate(F.col("text"))).unionByName(masked.select(*back))

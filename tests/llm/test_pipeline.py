@@ -128,6 +128,21 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["_key", "_last", "_hash", "_n", "_words", "_round", "_row", "_k0", "key", "evidence", "kept", "probability", "host", "size", "picks", "a.b"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + (" token=0123456789abcdef0123" if i % 2 else ""), "en", f"s{i % 2}", 9, *[i * 100 + k if k % 2 else f"v{i}.{k}" for k in range(len(names))]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` {'long' if k % 2 else 'string'}" for k, n in enumerate(names)))
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    types, by_id = docs.dtypes, {r[0]: r for r in rows}
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.dtypes == types
+        found = docs.collect()
+        assert found and all(tuple(r)[5:] == by_id[r["doc_id"]][5:] for r in found), name
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names

@@ -390,3 +390,43 @@ def test_many_sources_are_joined_by_shuffle(docs, monkeypatch):
     few = sorted(mixing.choose_blocks(docs).collect(), key=key)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(mixing.choose_blocks(docs).collect(), key=key) == few
+
+
+def test_shards_take_their_own_seats(docs):
+    rows = mixing.choose_blocks(docs).select("*", mixing.shard_words(F.col("picks")).alias("by_shard")).collect()
+    sources = {r["source"]: (r["source_size"], r["target"]) for r in rows}
+    names = sorted(sources, key=lambda s: (s is None, s or ""))
+    block, total = mixing.BLOCK_TOKENS, sum(t for _, t in sources.values())
+    ends = []
+    for shard in range(1, 9):
+        quota = dict.fromkeys(names, 0)
+        for _ in range(round(total / block * shard / 8)):
+            quota[max(names, key=lambda s: (sources[s][1] / (2 * quota[s] + 1), -names.index(s)))] += 1
+        ends.append({s: min(q, 2 * -(-sources[s][0] // block)) for s, q in quota.items()})
+    for s in names:
+        own = [r for r in rows if r["source"] == s]
+        assert all(sum(r["by_shard"]) == r["taken"] for r in own)
+        assert all(len(p["shards"]) == p["rounds"] for r in own for p in r["picks"])
+        for shard in range(8):
+            seats = ends[shard][s] - (ends[shard - 1][s] if shard else 0)
+            assert 0 <= seats * block - sum(r["by_shard"][shard] for r in own) <= 2 * (block - 1)  # the source's last block may be short
+
+
+def test_places_are_permutations(spark):
+    from cueloom.llm.mixing import _PRIMES, _place
+
+    rows = [(b, n) for n in (1, 2, 7, 64, 97) for b in range(n)] + [(b, m * p) for p in _PRIMES for m in (1, 2, 3) for b in range(6)]
+    got = spark.createDataFrame(rows, "b long, n long").select("n", _place(F.col("b"), F.col("n"), F.lit(-12345).cast("long")).alias("at")).collect()
+    assert len({(r["n"], r["at"]) for r in got}) == len(rows) and all(0 <= r["at"] < r["n"] for r in got)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["_hash", "_n", "_words", "_round", "_mine", "_len", "size", "picks", "taken", "_c_size", "_k0", "a.b", "_row", "_bucket", "_order"]
+    rows = [(i, f"word{i} " * 200 if i % 5 else None, f"s{i % 3}", *[i * 100 + k if k % 2 else f"v{i}.{k}" for k in range(len(names))]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` {'long' if k % 2 else 'string'}" for k, n in enumerate(names)))
+    out = mixing.mix(docs)
+    assert out.dtypes == docs.dtypes
+    found = out.collect()
+    by_id = {r[0]: r for r in rows}
+    assert found and all(tuple(r)[2:] == by_id[r["doc_id"]][2:] for r in found)
+    assert {r["doc_id"] for r in found} <= {i for i in range(40) if i % 5}
