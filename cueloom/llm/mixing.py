@@ -131,16 +131,19 @@ def choose_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     t = t.withColumn("_from", F.col("_base") + F.col("_before")).withColumn("_to", F.col("_from") + F.col("size"))
     seeded = F.xxhash64(F.lit(seed), "source")
 
-    def pick(b: Column) -> Column:
+    def placed(b: Column) -> Column:
         start = F.greatest(b * block, F.col("_from"))
-        place = _place(b, F.col("blocks"), seeded)
-        rounds = (F.floor(F.col("quota") / F.col("blocks")) + F.when(place < F.col("quota") % F.col("blocks"), 1).otherwise(0)).cast("long")
-        shard_of = lambda turn: F.size(F.filter("shard_ends", lambda end: end <= place + turn * F.col("blocks")))
+        return F.struct((start - F.col("_from")).alias("start"), (F.least((b + 1) * block, F.col("_to")) - start).alias("length"), _place(b, F.col("blocks"), seeded).alias("place"))
+
+    def pick(p: Column) -> Column:
+        rounds = (F.floor(F.col("quota") / F.col("blocks")) + F.when(p["place"] < F.col("quota") % F.col("blocks"), 1).otherwise(0)).cast("long")
+        shard_of = lambda turn: F.size(F.filter("shard_ends", lambda end: end <= p["place"] + turn * F.col("blocks")))
         shards = F.when(rounds > 0, F.transform(F.sequence(F.lit(0).cast("long"), rounds - 1), shard_of)).otherwise(F.array().cast("array<int>"))
-        return F.struct((start - F.col("_from")).alias("start"), (F.least((b + 1) * block, F.col("_to")) - start).alias("length"), rounds.alias("rounds"), shards.alias("shards"))
+        return F.struct(p["start"], p["length"], rounds.alias("rounds"), shards.alias("shards"))
 
     first, last = F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block)
-    picks = F.when(F.col("size") > 0, F.transform(F.sequence(first, last), pick)).otherwise(F.array())
+    places = F.when(F.col("size") > 0, F.transform(F.sequence(first, last), placed)).otherwise(F.array())
+    picks = F.transform(places, pick)
     t = t.withColumn("picks", picks)
     taken = F.aggregate("picks", F.lit(0).cast("long"), lambda a, p: a + p["length"] * p["rounds"])
     return t.withColumn("taken", taken).select(*keep, "source", "size", "source_size", "target", "taken", "picks")
