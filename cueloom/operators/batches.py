@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,36 +91,81 @@ def split_failed(batched: DataFrame, failed: DataFrame, size: int = SMALL_BATCH)
     return big.withColumns({"sub_no": F.floor((F.col("local_no") - 1) / size).cast("long"), "sub_local_no": (F.col("local_no") - 1) % size + 1})
 
 
-def apply_batches(requests: DataFrame, fn: Callable[[str], str], concurrency: int = 2, attempts: int = 5) -> DataFrame:
+def apply_batches(requests: DataFrame, fn: Callable[[str], str], concurrency: int = 2, attempts: int = 5, backoff: float = 0.0, kept: str | None = None) -> DataFrame:
     """Call fn on each payload: (video_id, batch_no, expected, body, error).
 
     concurrency is the number of tasks that call at once. fn is called again, up to attempts times, when it raises,
-    or while more than RETRY_SHARE of the numbers are missing; then its last reply stands. Failures are rows with an
-    error. A lost task repeats its calls, so requests are keyed by (video_id, batch_no) and replies replace each other.
+    or while more than RETRY_SHARE of the numbers are missing; then its last reply stands. Between calls a task waits
+    backoff seconds times the number of calls so far, a quarter of that if a reply came but lacked numbers. An error with a false
+    attribute retryable is not tried again. Failures are rows with an error.
+
+    kept names a shared folder where each reply is put, whole, as soon as it is there, under video, batch and a
+    hash of the payload: a task that is lost and repeated, or a twin of it, takes what is kept instead of calling, so at most the
+    batch in hand is asked for twice. Failures are not kept. A folder serves one round; use another to ask anew.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
+        replies = KeptReplies(kept) if kept is not None else None
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                body, error = None, None
-                for _ in range(attempts):
-                    try:
-                        body, error = fn(row.payload), None
-                    except Exception as e:  # noqa: BLE001  whatever the function raises becomes the row's error
-                        error = str(e)
-                        continue
-                    numbers = {int(x) for x in re.findall(r"(?m)^\s*(\d+)\.\s*\S", body or "")}
-                    if row.expected - len(numbers & set(range(1, row.expected + 1))) <= RETRY_SHARE * row.expected:
-                        break
+                name = (row.video_id, row.batch_no, row.payload)
+                body, error = replies.get(*name) if replies else None, None
+                if body is None:
+                    body, error = asked(fn, row.payload, row.expected, attempts, backoff)
+                    if replies and error is None and body is not None:
+                        replies.put(*name, body)
                 out.append((row.video_id, row.batch_no, row.expected, body, error))
             yield pd.DataFrame(out, columns=["video_id", "batch_no", "expected", "body", "error"])
 
     return requests.select("video_id", "batch_no", "expected", "payload").repartition(concurrency, "video_id", "batch_no").mapInPandas(run, "video_id long, batch_no long, expected long, body string, error string")
 
 
+def asked(fn: Callable[[str], str], payload: str, expected: int, attempts: int, backoff: float) -> tuple[str | None, str | None]:
+    """(last reply, error of the last call)."""
+    body, error = None, None
+    for n in range(1, attempts + 1):
+        try:
+            body, error = fn(payload), None
+        except Exception as e:  # noqa: BLE001  whatever the function raises becomes the row's error
+            error, wait = str(e), backoff
+            if not getattr(e, "retryable", True):
+                break
+        else:
+            wait = backoff / 4
+            numbers = {int(x) for x in re.findall(r"(?m)^\s*(\d+)\.\s*\S", body or "")}
+            if expected - len(numbers & set(range(1, expected + 1))) <= RETRY_SHARE * expected:
+                break
+        if n < attempts and wait:
+            time.sleep(wait * n)
+    return body, error
+
+
+class KeptReplies:
+    """Replies in a folder that tasks share, one file each; a file appears whole by renaming."""
+
+    def __init__(self, folder: str) -> None:
+        self.files, self.top = fs.FileSystem.from_uri(folder)
+
+    def _path(self, video_id: int, batch_no: int, payload: str) -> str:
+        return f"{self.top}/{video_id}/{batch_no}-{hashlib.sha256(payload.encode()).hexdigest()}"
+
+    def get(self, video_id: int, batch_no: int, payload: str) -> str | None:
+        path = self._path(video_id, batch_no, payload)
+        if self.files.get_file_info(path).type != fs.FileType.File:
+            return None
+        with self.files.open_input_stream(path) as f:
+            return f.read().decode()
+
+    def put(self, video_id: int, batch_no: int, payload: str, body: str) -> None:
+        path = self._path(video_id, batch_no, payload)
+        part = f"{path}.{uuid.uuid4().hex}"
+        self.files.create_dir(path.rpartition("/")[0], recursive=True)
+        with self.files.open_output_stream(part) as f:
+            f.write(body.encode())
+        self.files.move(part, path)
+
+
 def _asked(batched: DataFrame, fn: Callable[[str], str], concurrency: int) -> tuple[DataFrame, DataFrame]:
     """(real replies (video_id, idx, zh), batches that failed) of numbered lines; replies are written before anything uses them."""
     replies = freeze(apply_batches(build_requests(batched), fn, concurrency), "replies")

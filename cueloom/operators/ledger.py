@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cueloom.schemas import STAGES
 
 OPEN = ("pending", "failed", "running")
+#: The order in which the events of one stage of one run are numbered.
+STATUS_ORDER = ["pending", "running", "done", "failed"]
+#: A stored event: seq is its place among the video's events, run the run that wrote it.
+EVENTS = "video_id long, ord int, seq long, status string, at timestamp, error string, retryable boolean, detail map<string,string>, run string"
 # The details that a status report shows, in order.
 DETAIL_KEYS = ["segments", "total", "done_batches", "audio_ok", "missing", "out", "progress", "cues", "overflow", "duration", "size_mb"]
 
@@ -53,6 +57,23 @@ def reset_from(ledger: DataFrame, videos: DataFrame, stage: str, seq: int, at: C
     return ledger.select(*columns).unionByName(later.select("video_id", "ord", F.lit(seq).cast("long").alias("seq"), F.lit("pending").alias("status"), *more))
 
 
+def stage_events(results: DataFrame, stage: str) -> DataFrame:
+    """Start and end of a stage as events (video_id, stage, status, error), from its result table with video_id and error.
+
+    A video may have many rows (batches, say): it has failed if any has an error, and then shows the smallest one, on
+    one line of at most 300 characters; else it is done.
+    """
+    one = results.groupBy("video_id").agg(F.min("error").alias("error")).withColumn("error", _one_line(F.col("error")))
+    ends = F.struct(F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error")
+    starts = F.struct(F.lit("running").alias("status"), F.lit(None).cast("string").alias("error"))
+    return one.select("video_id", F.lit(stage).alias("stage"), F.explode(F.array(starts, ends)).alias("_e")).select("video_id", "stage", "_e.status", "_e.error")
+
+
+def reset_events(videos: DataFrame, stage: str) -> DataFrame:
+    """Pending events of stage and all later ones, to be written: a reset that last_resets() finds in the ledger read back."""
+    return all_stages(videos).where(F.col("ord") >= STAGES.index(stage)).select("video_id", "stage", F.lit("pending").alias("status"))
+
+
 def last_resets(ledger: DataFrame, stage: str) -> DataFrame:
     """(video_id, reset_at): when each video was last sent back to this stage or to one before it."""
     sent_back = (F.col("ord") == STAGES.index(stage)) & (F.col("status") == "pending") & F.col("at").isNotNull()  # a reset marks all later stages too
@@ -95,6 +116,17 @@ def merge_meta(updates: DataFrame) -> DataFrame:
     return updates.groupBy("video_id", "key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def rows_to_resume(stored: DataFrame, ledger: DataFrame, stage: str, buckets: int = 64) -> DataFrame:
+    """Of a table stored in folders by bucket of video_id, the rows of videos for which stage is not done.
+
+    Two semi-joins: the buckets with open videos, of which there are at most as many as folders, prune the folders that are
+    read while the query runs; then the videos themselves are met within these.
+    """
+    undone = latest_stage_status(ledger).where((F.col("stage") == stage) & (F.col("status") != "done")).select("video_id")
+    folders = undone.select(F.pmod("video_id", F.lit(buckets)).cast("int").alias("bucket")).distinct()
+    return stored.join(F.broadcast(folders), "bucket", "left_semi").join(undone, "video_id", "left_semi")
+
+
 def resume_skip(work: DataFrame, ledger: DataFrame) -> DataFrame:
     """Work (video_id, ord) without what the ledger's last status says is done."""
     done = latest_stage_status(ledger).where("status = 'done'").select("video_id", "ord")
@@ -109,7 +141,9 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 def append_failed(runs: DataFrame) -> DataFrame:
     """(url, error) of failed runs, each error on one line of at most 300 characters."""
-    line = F.trim(F.regexp_replace("error", r"[\r\n]+", " "))
-    return runs.where("status = 'failed'").select("url", F.when(F.length(line) > 300, F.concat(F.substring(line, 1, 297), F.lit("..."))).otherwise(line).alias("error"))
+    return runs.where("status = 'failed'").select("url", _one_line(F.col("error")).alias("error"))
 
 
+def _one_line(error: Column) -> Column:
+    line = F.trim(F.regexp_replace(error, r"[\r\n]+", " "))
+    return F.when(F.length(line) > 300, F.concat(F.substring(line, 1, 297), F.lit("..."))).otherwise(line)

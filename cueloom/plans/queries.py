@@ -18,6 +18,7 @@ from cueloom.plans import fixtures as X
 from cueloom.plans import sql as D
 from cueloom.schemas import STAGES
 from cueloom.sinks import documents as K
+from cueloom.sinks import stores
 from cueloom.sources import captions, tables
 from cueloom.sources.lines import read_lines
 
@@ -730,6 +731,31 @@ def resume_skip(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.resume_skip(ledger.all_stages(rows), rows)
 
 
+@register("rows_to_resume", f"{X.duck('segments', 'ledger')}, {_LATEST} SELECT video_id, idx, {_MS}, en, zh FROM segments WHERE video_id IN (SELECT video_id FROM latest WHERE stage='tts' AND status<>'done')")
+def rows_to_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored segments of the videos that still need speech; folders without such a video are not read."""
+    path = _new_path(spark, "segments")
+    K.write_segments(_segments(spark, sf), path)
+    return _ms(ledger.rows_to_resume(spark.read.parquet(path), _ledger(spark, sf), "tts"), "idx", "en", "zh")
+
+
+_STAGE_RESULTS = "res AS (SELECT video_id, min(CASE WHEN (expected-got)/greatest(1,expected) > 5e-2 THEN concat('batch ', CAST(batch_no AS VARCHAR), ' lacks lines') END) AS error FROM covered GROUP BY 1)"
+
+
+@register("write_events", f"{_REPLIES}, {_STAGE_RESULTS} SELECT video_id, CAST(1 AS BIGINT) AS seq, 4 AS ord, 'running' AS status, '' AS error FROM res UNION ALL SELECT video_id, 2, 4, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END, coalesce(error,'') FROM res UNION ALL SELECT video_id, 3+k, 4+k, 'pending', '' FROM res CROSS JOIN (VALUES (0),(1),(2),(3)) v(k) WHERE video_id%3=0")
+def write_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a stage from its batches' coverage, written twice as a repeated job would, then a reset of some videos."""
+    replies, _, real = _real(spark, sf)
+    path = _new_path(spark, "ledger")
+    lacks = F.when(F.col("retry"), F.concat(F.lit("batch "), F.col("batch_no").cast("string"), F.lit(" lacks lines")))
+    results = freeze(batches.batch_coverage(replies, real).select("video_id", lacks.alias("error")), "results")
+    events = ledger.stage_events(results, "translate")
+    for part in (events.where("video_id%2=0"), events, events):
+        stores.write_events(part, path, "first")
+    stores.write_events(ledger.reset_events(results.where("video_id%3=0"), "translate"), path, "reset")
+    return stores.read_ledger(spark, path).select("video_id", "seq", "ord", "status", F.coalesce("error", F.lit("")).alias("error"))
+
+
 @register("live_check", f"{X.duck('segments', 'manifest', 'ledger')}, {_AUDIO}, {_REPORT}, {_LATEST}, js AS (SELECT video_id, CASE WHEN bool_and(status='done') THEN 'done' WHEN arg_max(status, seq)='failed' THEN 'failed' WHEN arg_max(status, seq)='pending' THEN 'pending' ELSE 'running' END AS status FROM latest GROUP BY 1), few AS (SELECT video_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS m FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS n FROM lost) WHERE n<=10 GROUP BY 1) SELECT js.video_id, js.status, segments, zh_nonempty, audio_ok, coalesce(few.m,'') AS missing_sample FROM js JOIN rep USING (video_id) LEFT JOIN few USING (video_id)")
 def live_check(spark: SparkSession, sf: str) -> DataFrame:
     return ledger_and_files(spark, sf)
@@ -805,8 +831,7 @@ def write_cues(spark: SparkSession, sf: str) -> DataFrame:
 @register("write_batch_replies", f"{X.duck('replies')} SELECT video_id, batch_no, concat('again ', body) AS body FROM replies")
 def write_batch_replies(spark: SparkSession, sf: str) -> DataFrame:
     replies, path = X.derived(spark, sf, "replies"), _new_path(spark, "replies")
-    K.write_batch_replies(replies, path)
-    K.write_batch_replies(replies.withColumn("body", F.concat(F.lit("again "), "body")), path)
-    return K.latest_replies(spark.read.parquet(path)).select("video_id", "batch_no", "body")
-
-
+    stores.write_replies(replies, path)
+    stores.write_replies(replies.withColumn("body", F.concat(F.lit("again "), "body")), path)
+    stores.compact_replies(spark, path)
+    return stores.read_replies(spark, path)

@@ -76,22 +76,12 @@ def write_ordered(rows: DataFrame, table: str, order: str, buckets: int = 64, ke
     return rows.sparkSession.table(table)
 
 
-def write_batch_replies(replies: DataFrame, path: str, buckets: int = 64) -> None:
-    """Append replies (video_id, batch_no, ...) with the time of writing; latest_replies() reads each batch's last."""
-    replies.withColumns({"written_at": F.current_timestamp(), "bucket": F.pmod("video_id", F.lit(buckets))}).write.mode("append").partitionBy("bucket").parquet(path)
-
-
 def append_lines(lines: DataFrame, path: str, refill: bool, buckets: int = 64) -> None:
     """Append translated lines (video_id, idx, zh, and en if known) with the time of writing, and whether a refill gave them; read_lines() reads them."""
     rows = lines.select("video_id", F.col("idx").cast("long").alias("idx"), "zh", F.lit(refill).alias("refill"), F.current_timestamp().alias("written_at"), (T.line_hash(F.col("en")) if "en" in lines.columns else F.lit(None).cast("long")).alias("en_hash"))
     rows.withColumn("bucket", F.pmod("video_id", F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def latest_replies(stored: DataFrame) -> DataFrame:
-    order = Window.partitionBy("video_id", "batch_no").orderBy(F.col("written_at").desc())
-    return stored.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "written_at", "bucket")
-
-
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 

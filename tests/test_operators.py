@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from cueloom.checkpoints import freeze
 from cueloom.functions import timing
 from cueloom.operators import batches, cues, fit, ledger, quality, segments, timeline
-from cueloom.schemas import CUES
-from cueloom.sinks import documents
+from cueloom.schemas import CUES, REPLIES
+from cueloom.sinks import documents, stores
 from cueloom.sources import captions, tables
 
 
@@ -350,3 +350,132 @@ def test_cues_out_of_order_are_told(spark):
     rows = [(1, 0, 0.0, 1.0), (1, 1, 1.0, 2.0), (2, 0, 0.0, 9.0), (2, 1, 1.0, 2.0), (2, 2, 0.5, 10.0), (3, 0, None, 1.0), (3, 1, 0.0, None), (4, 0, 1.0, 2.0), (4, 1, 1.0, 2.0)]
     found = cues.out_of_order(spark.createDataFrame([(*r, "x") for r in rows], "video_id long, cue_no long, start_s double, end_s double, text string")).collect()
     assert [tuple(r) for r in found] == [(2, 3, 1, 1)]
+
+
+def test_waits_grow_and_hopeless_errors_are_not_tried_again(monkeypatch):
+    waits = []
+    monkeypatch.setattr(batches.time, "sleep", waits.append)
+
+    class Refused(Exception):
+        retryable = False
+
+    def fails(error):
+        def call(payload):
+            raise error
+
+        return call
+
+    assert batches.asked(fails(ValueError("busy")), "1. a", 1, 4, 5.0) == (None, "busy") and waits == [5.0, 10.0, 15.0]
+    waits.clear()
+    assert batches.asked(fails(Refused("no key")), "1. a", 1, 4, 5.0) == (None, "no key") and waits == []
+    assert batches.asked(lambda p: "nothing", "1. a", 1, 3, 4.0) == ("nothing", None) and waits == [1.0, 2.0]
+    waits.clear()
+    assert batches.asked(lambda p: "1. x", "1. a", 1, 3, 4.0) == ("1. x", None) and waits == []
+
+
+def test_killed_task_does_not_ask_again(spark, tmp_path):
+    folder, kept = tmp_path / "calls", f"file://{tmp_path}/kept"
+    folder.mkdir()
+
+    def call(payload):
+        import os
+
+        (folder / uuid.uuid4().hex).write_text(payload)
+        if len(list(folder.iterdir())) == 4:
+            os._exit(1)  # the worker is gone in the midst of its fourth call
+        return payload.replace(". ", ". 译")
+
+    requests = batches.build_requests(batches.assign_batches(lines(spark, 70), 10))
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        batches.apply_batches(requests, call, concurrency=1, kept=kept).collect()
+    got = batches.apply_batches(requests, call, concurrency=1, kept=kept).collect()
+    assert len(got) == 7 and all(r["error"] is None and r["body"].count("译") == 10 for r in got)
+    asked = [f.read_text() for f in folder.iterdir()]
+    assert len(asked) == 8 and len(set(asked)) == 7  # only the call in hand was made twice
+    other = requests.withColumn("payload", F.concat("payload", F.lit("!")))
+    batches.apply_batches(other, call, concurrency=1, kept=kept).collect()
+    assert len(list(folder.iterdir())) == 15  # changed payloads are asked for
+
+
+def test_replies_replace_each_other(spark, tmp_path):
+    path = f"file://{tmp_path}/replies"
+    table = lambda *rows: spark.createDataFrame(rows, REPLIES)
+    now = lambda: sorted(tuple(r) for r in stores.read_replies(spark, path).collect())
+    assert now() == []
+    assert stores.write_replies(table((1, 0, "a"), (1, 1, "b"), (1, 1, "c"), (2, 0, None), (2, 0, "d"), (3, 0, None)), path, 2) == 1
+    assert now() == [(1, 0, "a"), (1, 1, "c"), (2, 0, "d"), (3, 0, None)]
+    assert stores.write_replies(table((1, 1, "A")), path, 2) == 2  # the later write counts, not the greater text
+    want = [(1, 0, "a"), (1, 1, "A"), (2, 0, "d"), (3, 0, None)]
+    assert now() == want
+    assert stores.compact_replies(spark, path, 2) == 2 and now() == want
+    assert spark.read.parquet(path).count() == 4 and stores.compact_replies(spark, path, 2) == 0
+    assert stores.write_replies(table((2, 0, "e"), (4, 7, "f")), path, 2) == 3
+    assert now() == [(1, 0, "a"), (1, 1, "A"), (2, 0, "e"), (3, 0, None), (4, 7, "f")]
+    stores.write_replies(table(), path)
+    assert len(now()) == 5
+
+
+def test_compaction_that_dies_or_is_overtaken_loses_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/replies"
+    table = lambda *rows: spark.createDataFrame(rows, REPLIES)
+    now = lambda: sorted(tuple(r) for r in stores.read_replies(spark, path).collect())
+    stores.write_replies(table((1, 0, "a"), (1, 1, "b")), path)
+    stores.write_replies(table((1, 0, "c")), path)
+    children = stores._children
+
+    def overtaken(session, folder):
+        out = children(session, folder)
+        if not calls:
+            stores.write_replies(table((1, 1, "meanwhile")), path)
+        elif dies:
+            raise KeyboardInterrupt
+        calls.append(1)
+        return out
+
+    for dies in (True, False):
+        calls = []
+        with monkeypatch.context() as patch:
+            patch.setattr(stores, "_children", overtaken)
+            if dies:
+                with pytest.raises(KeyboardInterrupt):
+                    stores.compact_replies(spark, path)
+            else:
+                stores.compact_replies(spark, path)
+        assert now() == [(1, 0, "c"), (1, 1, "meanwhile")]
+
+
+def test_events_are_numbered_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    read = lambda: [tuple(r) for r in stores.read_ledger(spark, path).select("video_id", "seq", "ord", "status", "error", "run").orderBy("video_id", "seq").collect()]
+    assert read() == []
+    results = spark.createDataFrame([(1, None), (1, "b\nbad"), (1, "c"), (2, None), (2, None)], "video_id long, error string")
+    events = ledger.stage_events(results, "translate")
+    want = [(1, 1, 4, "running", None, "r1"), (1, 2, 4, "failed", "b bad", "r1"), (2, 1, 4, "running", None, "r1"), (2, 2, 4, "done", None, "r1")]
+    stores.write_events(events.where("video_id = 2"), path, "r1")  # a write that got only so far
+    stores.write_events(events, path, "r1")
+    stores.write_events(events, path, "r1")
+    assert read() == want
+    stores.write_events(ledger.reset_events(spark.createDataFrame([(2,)], "video_id long"), "tts"), path, "reset 1")
+    assert read() == [*want, *[(2, 3 + n, 5 + n, "pending", None, "reset 1") for n in range(3)]]
+    log = stores.read_ledger(spark, path)
+    assert {r["video_id"] for r in ledger.last_resets(log, "tts").collect()} == {2} and ledger.last_resets(log, "translate").count() == 0
+    stores.write_events(ledger.stage_events(results.where("video_id = 1 and error is null"), "translate"), path, "r2")
+    assert {r["video_id"]: r["status"] for r in ledger.latest_stage_status(log).where("ord = 4").collect()} == {1: "failed", 2: "done"}
+    log = stores.read_ledger(spark, path)
+    assert {r["video_id"]: r["status"] for r in ledger.latest_stage_status(log).where("ord = 4").collect()} == {1: "done", 2: "done"}
+    odd = spark.createDataFrame([(None, "tts", "done"), (3, "no such stage", "done"), (3, None, "done"), (3, "tts", None)], "video_id long, stage string, status string")
+    before = len(read())
+    stores.write_events(odd, path, "r3")
+    assert len(read()) == before
+
+
+def test_only_folders_of_open_videos_are_read(spark, tmp_path):
+    path = f"file://{tmp_path}/cues"
+    rows = spark.range(400).select((F.col("id") % 40).alias("video_id"), F.col("id").alias("idx"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"), F.lit("x").alias("en"), F.lit("").alias("zh"))
+    documents.write_segments(rows, path, buckets=8)
+    log = spark.createDataFrame([(v, o, o, "failed" if v in (3, 11) and o == 4 else "done") for v in range(40) for o in range(8)], "video_id long, ord int, seq long, status string")
+    frozen = freeze(log)
+    found = ledger.rows_to_resume(spark.read.parquet(path), frozen, "translate", buckets=8)
+    assert sorted({r["video_id"] for r in found.collect()}) == [3, 11] and found.count() == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(" in plan and "dynamicpruningexpression(true)" not in plan, plan
