@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cueloom.checkpoints import freeze, release
 from cueloom.llm.columns import every, set_aside
 from cueloom.llm.components import components
+from cueloom.llm.idfilter import with_ids
 from cueloom.llm.textscan import mix, shingles, slices
 
 WIDTH = 5
@@ -28,7 +29,7 @@ SECOND, LEFT_OUT = 3, 1
 MAX_SEEDS = 8
 #: Classes of features whose counts outline a set: outlines that differ too much rule a pair out before its sets meet.
 OUTLINE = 256
-#: Representatives up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, a shuffled join does it.
+#: Ids up to which they (8 bytes each) are broadcast to pick their texts; beyond, filters of them do it in the scan.
 BROADCAST_IDS = 200_000
 #: Features whose signatures a task holds before it hands them on, and those of how many sets at most.
 HELD = 500_000
@@ -404,11 +405,15 @@ _NO_ID = -(1 << 63)
 
 
 def _sets_of(docs: DataFrame, info: DataFrame, keys: DataFrame, clashing: frozenset[int]) -> tuple[DataFrame, DataFrame]:
-    """(key, size, features) and (key, size, outline) of the keys, written, each read from one of its documents; ids are shuffled with the texts only beyond BROADCAST_IDS."""
+    """(key, size, features) and (key, size, outline) of the keys, written, each read from one of its documents. Beyond BROADCAST_IDS filters of the ids part the texts in the scan."""
     ids = info.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_id")).select("_id").distinct()
     ids = freeze(ids, "representatives", few=True)
     texts = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"))
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_semi").select("text")
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "_id", "left_semi")
+    else:
+        texts = with_ids(texts, F.col("_id"), ids, info.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id")), inside=True)
+    texts = texts.select("text")
     sets = freeze(texts.mapInArrow(_shingled(clashing), "key long, size long, outline array<byte>, features array<long>"), "sets")
     release(ids)
     return sets, freeze(sets.select("key", "size", "outline"), "outlines", few=True)
@@ -582,6 +587,13 @@ def _winners(info: DataFrame, comps: DataFrame) -> DataFrame:
     return keyed.groupBy("_comp", "_nameless").agg(F.min(F.struct("_first", "key")).alias("_w")).select(F.col("_w._first").alias("doc_id"), "_w.key")
 
 
+def _by_ids(docs: DataFrame, ids: DataFrame, known: DataFrame, inside: bool) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (a written table), or those where it is not, without shuffling them."""
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi" if inside else "left_anti").select(*every(docs))
+    return with_ids(docs, F.col("doc_id").cast("long"), ids.select(F.col("doc_id").cast("long").alias("_id")), known.select(F.col("_id").cast("long").alias("_id")), inside)
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component, one row with the smallest doc_id stays.
 
@@ -594,14 +606,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     named = info.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("key").alias("key"), F.max("n").alias("n"))
     named = freeze(named, "named", few=True)
     dropped = freeze(named.where("_rows = 1 and n > 0").join(winners, ["doc_id", "key"], "left_anti").select("doc_id"), "dropped", few=True)
-    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*every(docs))
-    repeated = named.where("_rows > 1").select("doc_id")
+    known = named.select(F.col("doc_id").alias("_id"))
+    kept = _by_ids(docs, dropped, known, inside=False)
+    repeated = freeze(named.where("_rows > 1").select("doc_id"), "repeated", few=True)
     n_repeated = repeated.count()
     if not n_repeated and info.where("doc_id is null").isEmpty():
         return kept
-    repeated = F.broadcast(repeated) if n_repeated <= BROADCAST_IDS else repeated
-    plain = kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*every(docs))
-    odd = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*every(docs)))
+    plain = _by_ids(kept.where("doc_id is not null"), repeated, known, inside=False)
+    odd = docs.where("doc_id is null").unionByName(_by_ids(docs, repeated, known, inside=True))
     names = [f"_k{i}" for i in range(len(docs.columns))]
     odd = odd.select(F.col("doc_id").alias("_id"), *set_aside(docs)[0], F.col("text").alias("_text"))
     odd = odd.mapInArrow(_keyed(clashing), ", ".join(f"`{n}` {t}" for n, t in odd.dtypes) + ", _key long")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.checkpoints import freeze
-from cueloom.llm.columns import exact
+from cueloom.llm.columns import exact, set_aside
 from cueloom.llm.compression_bands import repeat_words
+from cueloom.llm.idfilter import with_ids
 from cueloom.llm.textscan import slices
 
 _UPPER, _MARKS, _LETTERS, _DIGITS = (np.zeros(256, bool) for _ in range(4))
@@ -40,7 +41,7 @@ THRESHOLD = 0.5
 FOLDS = 5
 #: Held-out evidence is counted in bins of this width, so what reaches the driver has a bounded size.
 BIN = 0.25
-#: Labels up to which they (about 16 bytes each) are broadcast to the documents they decide; beyond, a shuffled join is used.
+#: Labels up to which they (about 16 bytes each) are broadcast; beyond, they meet rows without texts in a shuffled join, and texts by filters of their ids.
 BROADCAST_LABELS = 200_000
 #: (host, path) rows up to which the posteriors (about 60 bytes each) are broadcast; beyond, a salted join is used.
 BROADCAST_PATHS = 50_000
@@ -177,7 +178,6 @@ def site_posteriors(evidence: DataFrame, prior: float) -> DataFrame:
 
 def _join_sites(rows: DataFrame, sites: DataFrame, host: str, path: str) -> DataFrame:
     """Rows with their site's posteriors: broadcast while sites are few, else salted."""
-    sites = freeze(sites, "sites")
     keys = F.struct(F.col(host).alias("host"), F.col(path).alias("path"))  # whole, so nulls meet
     right = sites.select(F.struct("host", "path").alias("_site"), "host_posterior", "path_posterior")
     if sites.count() <= BROADCAST_PATHS:
@@ -200,10 +200,22 @@ def fit(classed: DataFrame, good: DataFrame) -> tuple[np.ndarray, float, DataFra
     and the global share give.
     """
     good = good.withColumnRenamed("quality", "_y")
-    labelled = classed.select("doc_id", "host", "path", "_new").join(good.hint("merge"), "doc_id", "left")  # labels may be many: never broadcast
+    rows = classed.select("doc_id", "host", "path", "_new")
+    named = rows.where("doc_id is not null").join(good.hint("merge"), "doc_id", "left")  # labels may be many: never broadcast
+    labelled = named.unionByName(rows.where("doc_id is null").withColumn("_y", F.lit(None).cast(good.schema["_y"].dataType)))
     weights, share = fit_evidence(labelled, F.col("_y"))
     p = F.coalesce(F.col("_y").cast("double"), 1 / (1 + F.exp(-(_lookup(weights[None], F.lit(0)) + math.log(share / (1 - share))))))
-    return weights, share, site_posteriors(labelled.select("host", "path", p.alias("p")), share)
+    return weights, share, freeze(site_posteriors(labelled.select("host", "path", p.alias("p")), share), "sites")
+
+
+def _own_odds(scored: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows with evidence, host and path, and probability by these alone."""
+    joined = _join_sites(scored, sites, "host", "path")
+    return joined.withColumn("probability", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior"))))))
+
+
+def _stays(probability: Column, threshold: float) -> Column:
+    return probability >= threshold - 1e-9  # even odds may round down
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -214,33 +226,49 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     without labels only the sites' even odds are left and every document stays. Kept columns are shuffled only if there
     are more than BROADCAST_PATHS sites or BROADCAST_LABELS labels.
     """
-    rows, names = _judged(docs, labels, host, path, keep, threshold, again=False)
-    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "evidence", "host_posterior", "path_posterior", "probability", "kept")
+    own = freeze(own_labels(labels), "labels", few=True)
+    names = [f"_k{i}" for i in range(len(keep))]  # clash with nothing
+    classed = freeze(_prepared(docs, [F.col("doc_id"), F.col(host), F.col(path), *map(exact, keep)], ["doc_id", "host", "path", *names], None), "classes")
+    weights, _, sites = fit(classed, own)
+    scored = _own_odds(classed.withColumn("evidence", _lookup(weights[None], F.lit(0))).drop("_new"), sites)
+    own = own.select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("double").alias("_y"))
+    if own.count() <= BROADCAST_LABELS:
+        joined = scored.join(F.broadcast(own), F.col("doc_id") == F.col("_labelled"), "left")
+    else:
+        joined = scored.where("doc_id is not null").join(own.hint("merge"), F.col("doc_id") == F.col("_labelled"), "left")
+        joined = joined.unionByName(scored.where("doc_id is null"), allowMissingColumns=True)
+    joined = joined.withColumn("probability", F.coalesce("_y", "probability")).withColumn("kept", _stays(F.col("probability"), threshold))
+    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "evidence", "host_posterior", "path_posterior", "probability", "kept")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: tuple[str, ...], threshold: float, again: bool) -> tuple[DataFrame, list[str]]:
-    """The judged rows with their keep columns under the returned names, which clash with nothing.
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns.
 
-    The classes of all documents are written with their keep columns and scored from there; with again, the texts
-    are among these, so the documents are read and classed once more instead of being written twice.
+    Documents are classed once to fit and once more to decide, where they are read, so texts are not written. Labels meet
+    the classes only; what goes to the texts is the ids whose label decides otherwise than their evidence would, a few in
+    a hundred labels. Up to BROADCAST_LABELS these are broadcast; beyond, filters part the texts by them in the scan.
     """
     own = freeze(own_labels(labels), "labels", few=True)
-    names = [f"_k{i}" for i in range(len(keep))]
     sites_of, all_of = [F.col("doc_id"), F.col(host), F.col(path)], ["doc_id", "host", "path"]
-    classed = freeze(_prepared(docs, sites_of + ([] if again else [*map(exact, keep)]), all_of + ([] if again else names), None), "classes")
+    classed = freeze(_prepared(docs, sites_of, all_of, None), "classes")
     weights, _, sites = fit(classed, own)
-    if again:
-        scored = _prepared(docs, [*sites_of, *map(exact, keep)], [*all_of, *names], weights).withColumnRenamed("_new", "evidence")
-    else:
-        scored = classed.withColumn("evidence", _lookup(weights[None], F.lit(0))).drop("_new")
-    own = own.select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("double").alias("_y"))
-    own = F.broadcast(own) if own.count() <= BROADCAST_LABELS else own.hint("merge")
-    joined = _join_sites(scored, sites, "host", "path").join(own, F.col("doc_id") == F.col("_labelled"), "left")
-    probability = F.coalesce("_y", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior"))))))
-    return joined.withColumn("probability", probability).withColumn("kept", F.col("probability") >= threshold - 1e-9), names  # even odds may round down
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    rows, names = _judged(docs, labels, host, path, tuple(docs.columns), THRESHOLD, again=True)
-    return rows.where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    labelled = classed.where("doc_id is not null").join((F.broadcast(own) if own.count() <= BROADCAST_LABELS else own.hint("merge")).withColumnRenamed("quality", "_y"), "doc_id")
+    odds = _own_odds(labelled.withColumn("evidence", _lookup(weights[None], F.lit(0))).drop("_new"), sites)
+    close = F.abs(F.col("probability") - THRESHOLD) < 1e-6  # sums of floats may differ between the passes
+    decided = odds.where(close | (_stays(F.col("probability"), THRESHOLD) != (F.col("_y") == 1)))
+    decided = freeze(decided.select(F.col("doc_id").alias("_id"), F.col("_y").alias("_label")).distinct(), "decided", few=True)
+
+    _, names = set_aside(docs)
+    back = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    few = decided.count() <= BROADCAST_LABELS
+    kind = docs.schema["doc_id"].dataType
+    ids = decided.select(F.col("_id").cast(kind).alias("_id"), "_label")
+    known = classed.select(F.col("doc_id").alias("_id"))
+    rest = docs if few else with_ids(docs, F.col("doc_id"), ids.select("_id"), known, inside=False)
+    scored = _own_odds(_prepared(rest, [*sites_of, *map(exact, docs.columns)], [*all_of, *names], weights).withColumnRenamed("_new", "evidence"), sites)
+    stays = _stays(F.col("probability"), THRESHOLD)
+    if few:
+        scored = scored.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
+        return scored.where(F.coalesce(F.col("_label") == 1, stays)).select(*back)
+    saved = freeze(ids.where("_label = 1").select("_id"), "saved", few=True)
+    return scored.where(stays).select(*back).union(with_ids(docs, F.col("doc_id"), saved, known, inside=True))
