@@ -12,8 +12,10 @@ from cueloom.llm import alignment, compression_bands, conversation_trie, lattice
 #: Rows of text in one Arrow batch, which bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 1000
 
-#: Hosts of these names, and of their subdomains, are on the list of the URL filter.
+#: The list of the URL filter has the pages of hosts of these names, and of their subdomains,
 LISTED_NAMES = r"(^|\.)(spam-farm|cheap-pills)\."
+#: and, on whatever host, each page whose title holds at least three such runs of symbols: junk, page by page.
+JUNK_RUN, JUNK_RUNS = r"[#*$%]{3}", 3
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,9 @@ def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    listed = pages.select("url").where(url_filter.host_of(F.col("url")).rlike(LISTED_NAMES))
+    title = F.regexp_extract("html", r"<title>([^<]*)", 1)
+    junk = F.size(F.regexp_extract_all(title, F.lit(JUNK_RUN), F.lit(0))) >= JUNK_RUNS
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_NAMES) | junk).select("url")
     return url_filter.filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
@@ -121,11 +125,11 @@ r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, n AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) AS component_size FROM n JOIN c USING (doc_id)"""
 
-_OP5 = r"""WITH p AS (SELECT page_id, url, strpos(url, '://')>0 AS ok, substr(url, strpos(url, '://')+3) AS rest FROM pages),
-h AS (SELECT page_id, ok, rest, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
+_OP5 = r"""WITH p AS (SELECT page_id, url, strpos(url, '://')>0 AS ok, substr(url, strpos(url, '://')+3) AS rest, len(regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '[#*$%]{3}'))>=3 AS junk FROM pages),
+h AS (SELECT page_id, ok, rest, junk, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
 k AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS qs FROM h),
 c AS (SELECT *, CASE WHEN ok THEN concat(regexp_replace(host, '^(?:www|m|blog)\.', ''), regexp_replace(path, '(?:\.html?|/)+$', ''), CASE WHEN qs<>'' THEN concat('?', qs) ELSE '' END) END AS canon FROM k),
-l AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')),
+l AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND (junk OR regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.'))),
 j AS (SELECT c.*, l.canon IS NOT NULL AS listed FROM c LEFT JOIN l ON l.canon=c.canon),
 r AS (SELECT *, CASE WHEN (host='example.net' OR ends_with(host,'.example.net')) AND starts_with(path,'/en/') THEN 'example.net/en/' WHEN (host='example.com' OR ends_with(host,'.example.com')) AND starts_with(path,'/de/') THEN 'example.com/de/'
   WHEN (host='org' OR ends_with(host,'.org')) AND starts_with(path,'/fr/') THEN 'org/fr/' WHEN (host='net' OR ends_with(host,'.net')) AND starts_with(path,'/') THEN 'net/' END AS rule FROM j)

@@ -4,11 +4,12 @@ import zlib
 from hashlib import sha256
 from random import Random
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cueloom.llm import mixing, mpeg, packing, quality_bayes, sharding, url_filter
+from cueloom.llm import mixing, mpeg, packing, quality_bayes, queries, sharding, url_filter
 from cueloom.llm.textscan import slices
 
 
@@ -137,6 +138,34 @@ def test_bloom_filter_has_no_false_negatives_when_overfull(spark):
     assert out.where("listed").count() == 1500 and out.where("verdict = 'block'").where("page_id % 2 = 1").count() == 0
 
 
+def test_filter_is_made_for_the_list_and_bounded(spark, monkeypatch):
+    assert [url_filter.block_bits(n) for n in (0, 16, 33, 16 * 1024, 16 * 1024 + 1, 10**9)] == [1, 1, 2, 10, 11, url_filter.MOST_BLOCK_BITS]
+    pages = spark.range(20000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/"), "id").alias("url"))
+    even = pages.where("page_id % 2 = 0").select("url")
+    out = url_filter.filter_urls(pages, even, rules=[])
+    assert out.where("listed").count() == 10000 and out.where("bloom_hit and not listed").count() < 100
+    monkeypatch.setattr(url_filter, "MOST_BLOCK_BITS", 1)
+    full = url_filter.filter_urls(pages, even, rules=[])
+    assert full.where("listed").count() == 10000 and full.where("bloom_hit and not listed").count() > 9000
+
+
+def test_listed_pages_bring_down_their_mirrors_only(spark, tmp_path):
+    """A junk title lists one page; other spellings of its URL go with it, other pages of its host stay, in Spark and in SQL."""
+    junk, fine = "<title>a### b*** c%%% &amp;</title>", "<title>a### b and c***</title> ### *** %%%"
+    rows = [
+        (1, "http://shop.example.com/en/5?utm_source=x", junk), (2, "https://www.shop.example.com/en/5/#top", fine), (3, "http://shop.example.com/en/6", fine), (4, "http://m.shop.example.com/en/5.html", None),
+        (5, "http://shop.example.com/en/5?page=2", fine), (6, None, junk), (7, "http://other.example.com/en/5", fine), (8, "http://a.example.net/en/1", junk), (9, "http://spam-farm.example.com/en/1", None), (9, "http://spam-farm.example.com/en/1", None),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.QUERIES["op5_url_filter"](spark, str(tmp_path))
+    assert {r["page_id"] for r in found.collect() if r["listed"]} == {1, 2, 4, 8, 9}
+    assert {r["page_id"] for r in found.collect() if r["verdict"] == "block"} == {1, 2, 4, 9} and found.count() == len(rows)
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        said = duck.sql(queries.ORACLE_SQL["op5_url_filter"]).df()
+    assert sorted(map(str, said[found.columns].astype(object).where(said.notna(), None).values.tolist())) == sorted(str(list(r)) for r in found.collect())
+
+
 def junk(i):
     return " ".join(["BUY NOW!! $$$"] * 20) if i % 2 else "spam&&& " * 40
 
