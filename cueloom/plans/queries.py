@@ -469,12 +469,17 @@ def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return _sentences(spark, sf).select("video_id", "run_id", "unit_no", "text")
 
 
-@register("soft_split")
+_RECURSIVE = X.duck().replace("WITH ", "WITH RECURSIVE ", 1)
+_RUN_KEY = "{'v': video_id, 'r': run_id}"
+_PARTS = "SELECT k.v AS video_id, k.r AS run_id, CAST(row_number() OVER (PARTITION BY k ORDER BY part, line_no) - 1 AS INT) AS part, piece FROM lines"
+
+
+@register("soft_split", f"{_RECURSIVE}, {_RUNS}, keyed AS (SELECT {_RUN_KEY} AS k, text FROM runs), {D.softened('keyed')} {_PARTS}")
 def soft_split(spark: SparkSession, sf: str) -> DataFrame:
     return cues.pause_runs(X.cues(spark, sf)).select("video_id", "run_id", F.posexplode(splitting.soft_split_column()("text")).alias("part", "piece"))
 
 
-@register("force_wrap")
+@register("force_wrap", f"{_RECURSIVE}, {_RUNS}, keyed AS (SELECT {_RUN_KEY} AS k, 0 AS part, text AS t FROM runs), {D.wrapped('keyed')} {_PARTS}")
 def force_wrap(spark: SparkSession, sf: str) -> DataFrame:
     return cues.pause_runs(X.cues(spark, sf)).select("video_id", "run_id", F.posexplode(splitting.force_wrap_column()("text")).alias("part", "piece"))
 
@@ -520,7 +525,13 @@ def absorb_micro(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(segments.absorb_micro(segments.renumber(glued, ["run_id", "sentence_no"])), "idx", "en")
 
 
-@register("segment_cues")
+_UNITS = f"""{_SENTENCES.replace("sentences AS (", "whole AS (")},
+keyed AS (SELECT {{'v': video_id, 'r': run_id, 'u': unit_no}} AS k, text FROM whole WHERE length(text) > 140), {D.softened("keyed")},
+cut_up AS (SELECT k.v AS video_id, k.r AS run_id, k.u AS u, part, line_no, piece AS text FROM lines UNION ALL SELECT video_id, run_id, unit_no, 0, 1, text FROM whole WHERE length(text) <= 140),
+sentences AS (SELECT c.video_id, c.run_id, start_s, end_s, c.text, row_number() OVER (PARTITION BY c.video_id, c.run_id ORDER BY u, part, line_no) - 1 AS unit_no FROM cut_up c JOIN runs USING (video_id, run_id))"""
+
+
+@register("segment_cues", f"{_RECURSIVE}, {_RUNS}, {_UNITS}, {_TIMED}, {_GLUED}, {_PACKED} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY run_id, n)-1 AS INT) AS idx, c.t AS en, {_FOLD_MS} FROM absorbed")
 def segment_cues(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(segments.segment_cues(X.cues(spark, sf)), "idx", "en")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cueloom.functions.words import BREAK_AFTER, DANGLING_WORDS, FILLERS, HESITATIONS, REPLY_FILLERS, SHORTENINGS
+from cueloom.functions.words import BREAK_AFTER, CLAUSE_WORDS, DANGLING_WORDS, FILLERS, HESITATIONS, REPLY_FILLERS, SHORTENINGS
 
 
 def q(text: str) -> str:
@@ -155,3 +155,41 @@ def joined_pieces(name: str, src: str, keys: str, order: str, may_join: str, tim
 
 def tiny(p: str, min_dur: float = 1.4, min_words: int = 4) -> str:
     return f"({p}.e - {p}.s < {min_dur!r}e0 OR {n_words(f'{p}.t')} < {min_words})"
+
+
+def wrapped(src: str, max_chars: int = 140) -> str:
+    """CTEs up to lines(k, part, line_no, piece): what force_wrap makes of src(k, part, t), whose words are parted by single spaces."""
+    core = "rtrim(word, ' ,;:-')"
+    opens = f"regexp_matches({core}, {q(rf'(?i)(^|[^\pL\pN_])(?:{DANGLING_WORDS})$')})"
+    dangles = "(solid[j] >= first AND open[j])"
+    may_end = f"lambda j: marked[j] OR (ends[j] - start >= {max_chars * 0.55!r}::DOUBLE AND NOT {dangles})"
+    stops = f"lambda j: j = n OR NOT {dangles} OR (j > first AND ends[j+1] - start > {int(max_chars * 1.25)})"
+    return f"""too_long AS MATERIALIZED (SELECT k, part, string_split(t, ' ') AS words FROM {src} WHERE length(t) > {max_chars}),
+spread AS (SELECT k, part, unnest(words) AS word, unnest(generate_series(1, len(words))) AS j FROM too_long),
+told AS (SELECT *, {core} <> '' AS is_solid, {opens} AS opens, {ends('word')} AS closed FROM spread),
+summed AS (SELECT k, part, j, word, sum(length(word) + 1) OVER o - 1 AS finish, right(word, 1) IN (',', ';', ':') AS marks, coalesce(max(CASE WHEN is_solid THEN j END) OVER o, 0) AS last_solid,
+  coalesce(last_value(CASE WHEN is_solid THEN opens END IGNORE NULLS) OVER o, false) AND NOT closed AS is_open FROM told WINDOW o AS (PARTITION BY k, part ORDER BY j ROWS UNBOUNDED PRECEDING)),
+known AS MATERIALIZED (SELECT k, part, count(*) AS n, list(word ORDER BY j) AS words, list(finish::BIGINT ORDER BY j) AS ends, list(marks ORDER BY j) AS marked, list(last_solid::BIGINT ORDER BY j) AS solid, list(is_open ORDER BY j) AS open FROM summed GROUP BY 1, 2),
+walk(k, part, line_no, first, last) AS (SELECT k, part, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM known
+  UNION ALL SELECT k, part, line_no, first, list_filter(range(held, least(n, held + {max_chars + 2}) + 1), {stops})[1] AS last
+  FROM (SELECT *, coalesce(list_filter(range(first + 1, greatest(first, len(list_filter(ends, lambda x: x <= start + {max_chars}))) + 1), {may_end})[-1], first) AS held
+    FROM (SELECT w.k, w.part, w.line_no + 1 AS line_no, w.last + 1 AS first, known.ends[w.last + 1] - length(known.words[w.last + 1]) AS start, n, ends, marked, solid, open FROM walk w JOIN known ON known.k = w.k AND known.part = w.part WHERE w.last < n))),
+lines AS (SELECT k, part, line_no, array_to_string(words[first:last], ' ') AS piece FROM walk JOIN known USING (k, part) WHERE first > 0 UNION ALL SELECT k, part, 1, t FROM {src} WHERE length(t) <= {max_chars} AND t <> '')"""
+
+
+def softened(src: str, max_chars: int = 140) -> str:
+    """CTEs up to lines(k, part, line_no, piece): what soft_split makes of src(k, text)."""
+    clause = q(rf"(?i)^(?:{CLAUSE_WORDS})($|[^\pL\pN_])")
+    spacing, joined = max(24, max_chars // 5), normalize("concat(r.held, ' ', c.piece)")
+    return f"""bare AS MATERIALIZED (SELECT k, t, string_split(t, ' ') AS words FROM (SELECT k, {normalize('text')} AS t FROM {src})),
+gaps AS (SELECT k, unnest(words) AS word, unnest(generate_series(1, len(words))) AS j, words FROM bare WHERE length(t) > {max_chars}),
+openings AS (SELECT k, j, sum(length(word) + 1) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING) - 1 AS place, right(word, 1) IN (',', ';') OR regexp_matches(concat_ws(' ', words[j+1], words[j+2], words[j+3]), {clause}) AS opens, j < len(words) AS inside FROM gaps),
+places AS MATERIALIZED (SELECT k, list(place::BIGINT ORDER BY j) AS places FROM openings WHERE opens AND inside GROUP BY 1),
+cuts(k, cut) AS (SELECT k, 0::BIGINT FROM bare WHERE length(t) > {max_chars} UNION ALL SELECT * FROM (SELECT c.k, list_filter(places, lambda p: p >= c.cut + {spacing})[1] AS cut FROM cuts c JOIN places ON places.k = c.k) WHERE cut IS NOT NULL),
+between AS (SELECT b.k, cut, {strip("substr(t, cut + 1, coalesce(lead(cut) OVER (PARTITION BY b.k ORDER BY cut), length(t)) - cut)", ' ,;')} AS piece FROM cuts JOIN bare b ON b.k = cuts.k),
+clauses AS MATERIALIZED (SELECT k, piece, row_number() OVER (PARTITION BY k ORDER BY cut) AS n, count(*) OVER (PARTITION BY k) AS of_all FROM between WHERE piece <> ''),
+rejoin(k, n, part, held) AS (SELECT k, 1::BIGINT, 0::BIGINT, piece FROM clauses WHERE n = 1 AND of_all > 1
+  UNION ALL SELECT k, n, CASE WHEN fresh THEN part + 1 ELSE part END, CASE WHEN fresh THEN piece ELSE joined END
+  FROM (SELECT *, length(held) >= {max_chars * 0.6!r}::DOUBLE OR length(joined) > {int(max_chars * 1.1)} AS fresh FROM (SELECT r.k, c.n, r.part, r.held, c.piece, {joined} AS joined FROM rejoin r JOIN clauses c ON c.k = r.k AND c.n = r.n + 1))),
+soft AS (SELECT k, part, arg_max(held, n) AS t FROM rejoin GROUP BY 1, 2 UNION ALL SELECT k, 0, t FROM bare b WHERE NOT EXISTS (SELECT 1 FROM clauses c WHERE c.k = b.k AND of_all > 1)),
+{wrapped('soft', max_chars)}"""
