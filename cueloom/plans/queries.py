@@ -271,6 +271,43 @@ def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return tables.folder_sizes(audio.unionByName(_outputs(spark, sf).select("video_id", F.col("name").alias("rel_path"), "size_bytes")))
 
 
+#: Files of each video: (name, whether a video has it). All hold a video's cues, one to a line.
+_FILES = [("source.en.vtt", "video_id%4=0"), ("source.srt", "video_id%4 IN (0,1)"), ("source.vtt", "video_id%4=2"), ("narration.wav", "true")]
+_LISTED = "listed AS (" + " UNION ALL ".join(f"SELECT video_id, '{name}' AS name, CAST(sum(strlen(coalesce(text,''))+1) AS BIGINT) AS size_bytes FROM cues WHERE {has} GROUP BY 1" for name, has in _FILES) + ")"
+
+
+def _write_files(rows: DataFrame, path: str, name: str) -> None:
+    lines = rows.select("video_id", F.lit(name).alias("name"), F.coalesce("text", F.lit("")).alias("value"))
+    lines.repartition(rows.sparkSession.sparkContext.defaultParallelism, "video_id").write.mode("append").partitionBy("video_id", "name").text(path)
+
+
+def _listing(spark: SparkSession, sf: str, parts: list[tuple[str, str]]) -> DataFrame:
+    """The files of these parts, (name, condition), written one part after the other, then listed by the scan."""
+    rows, path = freeze(X.cues(spark, sf).select("video_id", "text"), "file_lines"), _new_path(spark, "files")
+    for name, has in parts:
+        _write_files(rows.where(has), path, name)
+    return tables.list_files(spark, path, r"/video_id=(\d+)/name=(.+)$").withColumn("video_id", F.col("video_id").cast("long"))
+
+
+@register("file_listing", f"{X.duck()}, {_LISTED} SELECT * FROM listed")
+def file_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.folder_sizes(_listing(spark, sf, _FILES))
+
+
+@register("captions_of_listing", f"{X.duck()}, {_LISTED} SELECT video_id, arg_min(name, list_position({_LIST}, name)) FILTER (list_contains({_LIST}, name)) AS name FROM listed GROUP BY 1")
+def captions_of_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The caption file of each video in a listing; without a name, the videos to report."""
+    files = tables.folder_sizes(_listing(spark, sf, _FILES))
+    return captions.pick_caption_file(files).unionByName(captions.without_captions(files), allowMissingColumns=True)
+
+
+@register("fresh_artifacts", f"{X.duck()}, {_LISTED} SELECT video_id, CAST(size_bytes>=500 AND video_id%3<>0 AND video_id%4 IN (0,1) AS INT) AS fresh FROM listed WHERE name='narration.wav'")
+def fresh_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third video's narration is written before its captions, the others after."""
+    parts = [("narration.wav", "video_id%3=0"), ("source.srt", "video_id%4 IN (0,1)"), ("narration.wav", "video_id%3<>0")]
+    return tables.fresh_artifacts(_listing(spark, sf, parts), "source.srt", "narration.wav").select("video_id", _flag(F.col("fresh")).alias("fresh"))
+
+
 # ---- replies
 
 _PARSED = rf"""lines AS (SELECT video_id, batch_no, expected, unnest(string_split(body, chr(10))) AS line, unnest(generate_series(1, len(string_split(body, chr(10))))) AS pos FROM replies),

@@ -1,6 +1,7 @@
 """Operators over cues, segments, replies, trials, clips, files and the ledger."""
 
 import json
+import os
 import uuid
 
 import pytest
@@ -278,6 +279,23 @@ def test_tables(spark, tmp_path):
     assert {r["length"] for r in tables.file_manifest(spark, str(tmp_path / "urls.txt")).collect()} == {39}
 
 
+def test_listing_reads_names_and_sizes(spark, tmp_path):
+    for video, name, size in (("v1", "source.en.vtt", 700), ("v1", "source.srt", 0), ("v 2", "clip%20 a.mp3", 600), ("v3", "source.srt", 500), ("v3", "clip%20 a.mp3", 499)):
+        (tmp_path / "in" / video).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / video / name).write_bytes(b"x" * size)
+    for video, at in (("v1", 100), ("v3", 200)):
+        for f in (tmp_path / "in" / video).iterdir():
+            os.utime(f, (at, at + (f.name == "source.srt")))
+    files = tables.list_files(spark, str(tmp_path / "in"))
+    assert sorted((r["video_id"], r["rel_path"], r["size_bytes"]) for r in files.collect()) == [("v 2", "clip%20 a.mp3", 600), ("v1", "source.en.vtt", 700), ("v3", "clip%20 a.mp3", 499), ("v3", "source.srt", 500)]
+    plan = files.where("size_bytes >= 500")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(length,500)" in plan and "content" not in plan
+    assert [r["video_id"] for r in captions.without_captions(tables.folder_sizes(files)).collect()] == ["v 2"]
+    fresh = lambda source, artifact: {r["video_id"]: r["fresh"] for r in tables.fresh_artifacts(files, source, artifact).collect()}
+    assert fresh("source.srt", "clip%20 a.mp3") == {"v 2": False, "v3": False} and fresh("clip%20 a.mp3", "source.srt") == {"v3": True}
+    assert fresh("source.en.vtt", "source.en.vtt") == {"v1": True} and tables.fresh_artifacts(files.where("false"), "a", "b").count() == 0
+
+
 def test_short_outputs(spark):
     rows = spark.createDataFrame([(100.0, 100.0), (95.0, 100.0), (100.3, 100.0)], "o double, s double")
     got = rows.select(timing.is_truncated(rows.o, rows.s), timing.cover_missing(rows.o, rows.s)).collect()
