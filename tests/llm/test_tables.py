@@ -1,5 +1,6 @@
 """Mixing, shards, URL filter, quality classifier, media and packing, against plain versions."""
 
+import math
 import zlib
 from hashlib import sha256
 from random import Random
@@ -236,6 +237,69 @@ def plain_sites(rows, prior):
     return {(h, q): (len(g), host_post[h], (sum(g) + path_m * host_post[h]) / (len(g) + path_m)) for (h, q), g in paths.items()}
 
 
+def plain_classes(text):
+    """The class of each feature of an ASCII text."""
+    text, marks = text or "", set("#*$%&|<>!@^~=_{}[]\\")
+    words = text.split()
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    again = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    n, chars = max(len(words), 1), max(len(text), 1)
+    values = {
+        "upper": sum(c.isupper() for c in text) / max(sum(c.isalpha() for c in text), 1), "marks": sum(c in marks for c in text) / chars, "marked_words": sum(bool(marks & set(w)) for w in words) / n,
+        "echo": sum(a == b for a, b in zip(words, words[1:])) / n, "repeats": len(again) / n, "digits": sum(c.isdigit() for c in text) / chars, "word_bytes": sum(map(len, words)) / n, "words": float(len(words)),
+    }
+    return [sum(edge < values[f] for edge in quality_bayes.EDGES[f]) for f in quality_bayes.EDGES]
+
+
+def plain_ratios(rows):
+    """{(feature, class): log likelihood ratio} of (classes, label) rows, for classes in any row or none."""
+    per = [sum(y == label for _, y in rows) for label in (0, 1)]
+    out = {}
+    for f, edges in enumerate(quality_bayes.EDGES.values()):
+        for c in range(len(edges) + 1):
+            seen = [sum(k[f] == c and y == label for k, y in rows) for label in (0, 1)]
+            pooled = (sum(seen) + 1 / (len(edges) + 1)) / (len(rows) + 1)
+            good, bad = ((seen[y] + quality_bayes.SMOOTHING * pooled) / (per[y] + quality_bayes.SMOOTHING) for y in (1, 0))
+            out[f, c] = math.log(good / bad) if all(per) else 0.0
+    return out
+
+
+def test_probabilities_equal_plain_formulas_and_sites_decide(spark):
+    """Evidence, its scale and the probability of every document, recomputed; equal texts of two hosts get opposite verdicts."""
+    rng = Random(4)
+    fine = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) for _ in range(rng.choice([3, 8, 40])))
+    half = lambda: fine() + " A1$ B2# " + fine()  # noqa: E731  as often good as bad
+    rows, labels = [], {}
+    for host, n_good, n_bad in (("clean", 150, 4), ("dirty", 6, 90)):
+        for y, n in ((1, n_good), (0, n_bad)):
+            for k in range(n):
+                rows.append((len(rows), half() if k % 3 == 0 else fine() if y else junk(k), host, rng.choice(["en", "de"])))
+                if k % 4:
+                    labels[rows[-1][0]] = y
+    rows += [(len(rows) + i, t, host, "en") for i, (host, t) in enumerate((h, t) for t in ("fed abc A1$ B2# cab dab fab", None, "") for h in ("clean", "dirty"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in quality_bayes.judge(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+
+    fold = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality_bayes.FOLDS)).alias("fold")).collect()}
+    classes = {i: plain_classes(t) for i, t, *_ in rows}
+    learned = [(classes[i], y) for i, y in labels.items()]
+    ratios, share = plain_ratios(learned), (sum(labels.values()) + 1) / (len(labels) + 2)
+    others = {k: plain_ratios([(classes[i], y) for i, y in labels.items() if fold[i] != k]) for k in set(fold.values())}
+    binned = [(round(sum(others[fold[i]][f, c] for f, c in enumerate(classes[i])) / quality_bayes.BIN) * quality_bayes.BIN, y) for i, y in labels.items()]
+    prior = math.log(share / (1 - share))
+    loss = lambda factor: sum(math.log1p(math.exp(-(factor * e + prior) * (1 if y else -1))) for e, y in binned)
+    scale = min((0.02 + k * 0.98 / 98 for k in range(99)), key=loss)
+    evidence = {i: scale * sum(ratios[f, c] for f, c in enumerate(k)) for i, k in classes.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    sites = plain_sites([(host, lang, float(labels[i]) if i in labels else sigmoid(evidence[i] + prior)) for i, _, host, lang in rows], share)
+    for i, _, host, lang in rows:
+        site = sites[host, lang][2]
+        want = float(labels[i]) if i in labels else sigmoid(evidence[i] + math.log(site / (1 - site)))
+        assert got[i]["evidence"] == pytest.approx(evidence[i], rel=1e-6, abs=1e-9) and got[i]["path_posterior"] == pytest.approx(site, rel=1e-9)
+        assert got[i]["probability"] == pytest.approx(want, rel=1e-6) and got[i]["kept"] == (want >= 0.5)
+    assert 0.02 < scale < 1 and [got[len(rows) - 6 + k]["kept"] for k in (0, 1)] == [True, False]
+
+
 def test_site_posteriors_equal_plain_formulas(spark):
     rng = Random(8)
     rows = []
