@@ -1,10 +1,12 @@
 """The convolutional classifier against loops over words and numerical slopes, and its held-out accuracy."""
 
 import zlib
+from collections import Counter
 from random import Random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cueloom.llm import toxicity_cnn as cnn
 from cueloom.llm.textscan import slices
@@ -147,3 +149,86 @@ def test_given_documents(spark):
     rows = cnn.score_documents(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     hits = sum(r["predicted"] and r["toxic"] for r in rows)
     assert hits >= 0.7 * sum(r["toxic"] for r in rows) and hits >= 0.93 * sum(r["predicted"] for r in rows)
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    ids = [i for i in range(14_500) if not held_out(i)][:9200]
+    order = [r["id"] for r in spark.createDataFrame([(i,) for i in ids[:4200]], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    last = set(order[4000:])  # what a sample of the first 4,000 toxic documents by hash leaves out
+    rng, words = Random(5), ["table", "window", "garden", "paper", "river", "bridge", "morning", "letter"]
+    text = lambda *more: " ".join([rng.choice(words) for _ in range(4)] + list(more))
+    rows = [(i, text("zymurgy" if i in last else "vermin") if k < 4200 else text(), int(k < 4200)) for k, i in enumerate(ids)]
+    new = [i for i in range(20_000, 20_400) if held_out(i)][:100]
+    asked = [(i, text("zymurgy") if k < 50 else text()) for k, i in enumerate(new)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in rows] + [(i, t, "en") for i, t in asked], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in cnn.score_documents(docs, labels).where("held_out").collect()}
+    assert [found[i] for i in new] == [1] * 50 + [0] * 50
+
+
+def test_many_shards_and_joined_labels(spark, monkeypatch):
+    rows = corpus(1500)
+    docs = spark.createDataFrame([r[:5] for r in rows] + [(rows[0][0], "~ repeated", "en", "", 0)], SCHEMA)
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(cnn, "SHARD_ROWS", 200)
+    monkeypatch.setattr(cnn, "BROADCAST_LABELS", 0)
+    monkeypatch.setattr(cnn, "BROADCAST_LANGS", 0)
+    words = cnn.labelled(docs, labels)
+    assert {r["doc_id"]: r["toxic"] for r in words.select("doc_id", "toxic").collect()} == {r[0]: r[5] for r in rows if not held_out(r[0])}
+    shards = cnn.in_shards(words.where("fold != 0"), 5)
+    files = shards.select("shard", F.input_file_name().alias("file")).distinct().collect()
+    assert len(files) == len({r["shard"] for r in files}) == len({r["file"] for r in files}) == 5
+    runs = [{(r["doc_id"], r["threshold"]): (r["score"], r["predicted"]) for r in cnn.score_documents(docs.repartition(n), labels).collect()} for n in (2, 5)]
+    assert runs[0].keys() == runs[1].keys() and all(np.isclose(runs[0][k][0], runs[1][k][0]) for k in runs[0])
+    of = {k[0]: v[1] for k, v in runs[0].items()}
+    held = [r for r in rows if held_out(r[0]) and r[0]]
+    assert sum(of[r[0]] != r[5] for r in held) <= 0.05 * len(held)
+
+
+def test_rare_words_and_log_odds_count_all_documents(spark):
+    rng = Random(2)
+    texts = {f"d{i}": [rng.randrange(40) ** 9 % (1 << 45) for _ in range(rng.randrange(6))] for i in range(80)}
+    toxic = {d: k % 2 for k, d in enumerate(texts)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        table = spark.createDataFrame([(d, toxic[d], w) for d, w in texts.items()], "doc_id string, toxic int, words array<long>").repartition(3)
+        rare = {r["_id"]: set(r["_rare"]) for r in cnn.rare_words(table).collect()}
+        shards = cnn.in_shards(table, 3)
+        spread = sorted((r["toxic"], r["words"]) for r in shards.collect())
+        odds = cnn.log_odds(shards, (40, 40))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    in_docs = Counter(w for t in texts.values() for w in set(t))
+    want = {d: {w for w in t if in_docs[w] < cnn.LEAST_DOCUMENTS} for d, t in texts.items()}
+    assert any(want.values()) and rare == {d: w for d, w in want.items() if w}
+    plain = {d: [w >> 30 << 30 if w in want[d] else w for w in t] for d, t in texts.items()}
+    assert spread == sorted((toxic[d], t) for d, t in plain.items())
+    for k in range(cnn.TABLES):
+        counts = [Counter(b for d, t in plain.items() if toxic[d] == y for b in {(w >> (15 * k)) & 32767 for w in t}) for y in (0, 1)]
+        for b in {*counts[0], *counts[1]}:
+            assert np.isclose(odds[k][b], np.log((counts[1][b] + cnn.ADDED) / (counts[0][b] + cnn.ADDED)))
+        assert np.count_nonzero(odds[k]) <= len({*counts[0], *counts[1]})
+
+
+def test_separable_logits_far_from_the_start_are_calibrated(spark):
+    rng = np.random.default_rng(6)
+    logits, toxic = np.concatenate([rng.uniform(-1.7, 3, 160), rng.uniform(11.5, 18.8, 40)]), np.repeat([0, 1], [160, 40])
+    scale, shift = cnn.calibrate(logits, toxic, np.ones(200))
+    assert all((scale * logits + shift > np.log(0.7 / 0.3)) == (toxic == 1))
+    held = spark.createDataFrame(list(zip(toxic.tolist(), logits.tolist(), strict=True)), "toxic int, logit double")
+    assert np.allclose(cnn.calibrate_rows(held, 160, 40), (scale, shift), atol=1e-5)
+
+
+def test_scale_and_thresholds_of_whole_tables(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if lang == "none" else lang, int(y), float(x)) for lang, n in (("en", 300), ("de", 40), ("none", 60), ("it", 5)) for y, x in zip(rng.integers(0, 2, n) * (lang != "it"), rng.integers(-20, 20, n) / 8 + (lang == "de"), strict=True)]
+    table = spark.createDataFrame(rows, "lang string, toxic int, logit double").repartition(5)
+    toxic, logits = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    want = cnn.calibrate(logits, toxic, np.ones(len(rows)))
+    assert np.allclose(cnn.calibrate_rows(table, int((toxic == 0).sum()), int(toxic.sum())), want, atol=1e-6)
+    scores = 1 / (1 + np.exp(-(1.3 * logits - 0.4)))
+    found = {(r["whole"], r["lang"]): (r["n_toxic"], r["threshold"]) for r in cnn.best_thresholds(table.select("lang", "toxic", cnn._logistic(1.3, -0.4).alias("score"))).collect()}
+    assert len(found) == 5
+    for (whole, lang), (n_toxic, threshold) in found.items():
+        own = np.array([whole or r[0] == lang for r in rows])
+        assert n_toxic == toxic[own].sum() and np.isclose(threshold, cnn.best_threshold(scores[own], toxic[own], np.ones(own.sum())))
