@@ -169,7 +169,7 @@ class KeptReplies:
 def _asked(batched: DataFrame, fn: Callable[[str], str], concurrency: int) -> tuple[DataFrame, DataFrame]:
     """(real replies (video_id, idx, zh), batches that failed) of numbered lines; replies are written before anything uses them."""
     replies = freeze(apply_batches(build_requests(batched), fn, concurrency), "replies")
-    lines = parse_replies(replies.where("body is not null")).join(batched.select("video_id", "batch_no", "local_no", "idx", "en"), ["video_id", "batch_no", "local_no"])
+    lines = parse_replies(replies.where("body is not null").repartition("video_id")).join(batched.select("video_id", "batch_no", "local_no", "idx", "en"), ["video_id", "batch_no", "local_no"])
     real = freeze(store_only_real(lines.select("video_id", "idx", "batch_no", "local_no", "zh", "en")).select("video_id", "idx", "zh"), "lines")
     return real, replies.where("error is not null").select("video_id", "batch_no")
 

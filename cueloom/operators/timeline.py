@@ -25,7 +25,7 @@ def timeline_overlay(clips: DataFrame, totals: DataFrame | None = None) -> DataF
     else:
         ends = totals.select("video_id", F.greatest(F.lit(1), F.rint(F.col("total_s") * SAMPLES)).cast("bigint").alias("total"))
     placed = placed.join(ends, "video_id").withColumn("b", F.least("b", "total")).where("a < b")
-    cuts = placed.select("video_id", F.explode(F.array("a", "b")).alias("at")).unionByName(ends.select("video_id", F.explode(F.array(F.lit(0).cast("bigint"), "total")).alias("at")))
+    cuts = ends.join(placed.drop("total"), "video_id", "left").select("video_id", F.explode(F.array(F.lit(0).cast("bigint"), "total", "a", "b")).alias("at")).where("at is not null")
     order = Window.partitionBy("video_id").orderBy("at")
     pieces = cuts.distinct().withColumn("to", F.lead("at").over(order)).where("to is not null").select("video_id", F.col("at").alias("from_sample"), F.col("to").alias("to_sample"))
     own = pieces.withColumn("_k", F.floor(F.col("from_sample") / STRETCH))
