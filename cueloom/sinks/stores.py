@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueloom.checkpoints import exists
+from cueloom.checkpoints import exists, shuffles_dropped
 from cueloom.operators import ledger
 from cueloom.schemas import REPLIES
 
@@ -28,9 +28,15 @@ def _generations(spark: SparkSession, path: str) -> list[tuple[int, object]]:
     return sorted(((int(s.getPath().getName()[4:]), s.getPath()) for s in listed if s.getPath().getName().startswith("gen=")), key=lambda g: g[0])
 
 
-def _add(rows: DataFrame, path: str, gen: int, order: list[str], buckets: int) -> None:
-    marked = rows.withColumns({"gen": F.lit(gen).cast("long"), "writer": F.lit(uuid.uuid4().hex), "bucket": F.pmod("video_id", F.lit(buckets)).cast("int")})
-    marked.repartitionByRange("bucket", *order).write.mode("append").partitionBy("gen", "writer", "bucket").parquet(path)
+def _dealt(rows: DataFrame, order: list[str], buckets: int) -> DataFrame:
+    """Rows by ranges of bucket and order; what groups them by all of these finds them where they are."""
+    return rows.withColumn("bucket", F.pmod("video_id", F.lit(buckets)).cast("int")).repartitionByRange("bucket", *order)
+
+
+def _add(dealt: DataFrame, path: str, gen: int, writer: str) -> None:
+    marked = dealt.withColumns({"gen": F.lit(gen).cast("long"), "writer": F.lit(writer)})
+    with shuffles_dropped(dealt.sparkSession):
+        marked.write.mode("append").option("compression", "zstd").partitionBy("gen", "writer", "bucket").parquet(path)
 
 
 def _stored(spark: SparkSession, path: str, fields: str) -> DataFrame:
@@ -54,7 +60,8 @@ def write_replies(replies: DataFrame, path: str, buckets: int = 64) -> int:
     spark = replies.sparkSession
     gen = max((g for g, _ in _generations(spark, path)), default=0) + 1
     rows = replies.select("video_id", F.col("batch_no").cast("long").alias("batch_no"), "body")
-    _add(_last(rows, ["video_id", "batch_no"], F.col("body").desc_nulls_last()), path, gen, ["video_id", "batch_no"], buckets)
+    key = ["video_id", "batch_no"]
+    _add(_last(_dealt(rows, key, buckets), ["bucket", *key], F.col("body").desc_nulls_last()), path, gen, uuid.uuid4().hex)
     return gen
 
 
@@ -70,16 +77,19 @@ def compact_replies(spark: SparkSession, path: str, buckets: int = 64) -> int:
     Readers that start in between see rows twice, with one value; a call that dies leaves the same, and the next one
     clears up. Writes that begin meanwhile have greater numbers, and one that shares the last number is ordered after
     what is merged into it. Readers that began before the deletion may miss their files, and so may a write that began
-    before the last stored one ended, so call it when neither is under way.
+    before the last stored one ended, so call it when neither is under way. Bodies are read only of the folders that hold a last
+    reply, which the keys alone tell.
     """
     old = _generations(spark, path)
     if len(old) < 2:
         return 0
-    last = old[-1][0]
-    merged = _last(_stored(spark, path, REPLIES).where(F.col("gen") <= last), ["video_id", "batch_no"], F.col("gen").desc(), F.col("writer").desc())
-    marked = merged.withColumns({"gen": F.lit(last).cast("long"), "writer": F.lit("!" + uuid.uuid4().hex)})
+    last, key = old[-1][0], ["video_id", "batch_no"]
+    stored = _stored(spark, path, REPLIES).where(F.col("gen") <= last)
+    live = stored.groupBy(*key).agg(F.max(F.struct("gen", "writer")).alias("_l")).select("_l.gen", "_l.writer").distinct().collect()
+    needed = F.struct("gen", "writer").isin(*[F.struct(F.lit(r["gen"]).cast("long"), F.lit(r["writer"])) for r in live]) if live else F.lit(False)
+    merged = _last(_dealt(stored.where(needed), key, buckets), ["bucket", *key], F.col("gen").desc(), F.col("writer").desc())
     before = {f.getPath().toString() for f in _children(spark, old[-1][1])}
-    marked.repartitionByRange("bucket", "video_id", "batch_no").write.mode("append").partitionBy("gen", "writer", "bucket").parquet(path)
+    _add(merged, path, last, "!" + uuid.uuid4().hex)
     gone = [folder for gen, folder in old if gen < last] + [f.getPath() for f in _children(spark, old[-1][1]) if f.getPath().toString() in before]
     for folder in gone:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -113,7 +123,7 @@ def write_events(events: DataFrame, path: str, run: str, buckets: int = 64) -> N
     seq = F.coalesce("_most", F.lit(0)) + F.row_number().over(Window.partitionBy("video_id").orderBy("ord", step, "status"))
     numbered = numbered.withColumns({"seq": seq.cast("long"), "at": F.current_timestamp(), "run": F.lit(run)}).drop("_most")
     gen = max((g for g, _ in _generations(spark, path)), default=0) + 1
-    _add(numbered.select(*[f.split(" ")[0] for f in ledger.EVENTS.split(", ")]), path, gen, ["video_id", "seq"], buckets)
+    _add(_dealt(numbered.select(*[f.split(" ")[0] for f in ledger.EVENTS.split(", ")]), ["video_id", "seq"], buckets), path, gen, uuid.uuid4().hex)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -48,3 +48,20 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert files() <= before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_replies_are_shuffled_once(spark, tmp_path):
+    key, rows = ["video_id", "batch_no"], spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (2, 0, None)], REPLIES)
+    frame = stores._last(stores._dealt(rows, key, 4), ["bucket", *key], F.col("body").desc_nulls_last())
+    assert plan_of(frame).count("Exchange") == 1 and sorted(tuple(r)[:3] for r in frame.collect()) == [(1, 0, "b"), (2, 0, None)]
+
+
+def test_compaction_reads_no_folder_without_a_last_reply(spark, tmp_path, monkeypatch):
+    path, read = f"file://{tmp_path}/replies", []
+    for text in ("old", "new"):
+        stores.write_replies(spark.createDataFrame([(v, 0, text) for v in range(200)], REPLIES), path)
+    add = stores._add
+    monkeypatch.setattr(stores, "_add", lambda rows, *a: (read.append(plan_of(rows)), add(rows, *a))[1])
+    assert stores.compact_replies(spark, path) == 2
+    assert len(read) == 1 and "PartitionFilters: []" not in read[0]
+    assert {(r["video_id"], r["body"]) for r in stores.read_replies(spark, path).collect()} == {(v, "new") for v in range(200)}
