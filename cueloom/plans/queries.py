@@ -6,11 +6,12 @@ All read whole tables. Times are compared in milliseconds, lists as joined strin
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueloom.checkpoints import freeze, shared_root
+from cueloom.checkpoints import delete, freeze, settings, shared_root, shuffles_dropped
 from cueloom.functions import splitting, timing
 from cueloom.functions import text as T
 from cueloom.operators import batches, cues, fit, ledger, quality, segments, timeline
@@ -223,28 +224,66 @@ def read_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(tables.read_segments(spark, path), "idx", "en", "zh", "note")
 
 
-def _written_files(rows: DataFrame, path: str) -> str:
-    """One JSON file for each video, of (video_id, a): indented, on one line, or a row to a line; every seventeenth is cut short."""
+#: Of so many videos files are there at once.
+WAVE = 50_000
+
+
+def _in_waves(spark: SparkSession, sf: str, texts: DataFrame, use: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What use(texts of some videos, a new folder) reads from the files that it writes there, for all videos of texts.
+
+    The files of a wave are deleted before the next wave's are written, so neither disk nor the driver, which lists them,
+    ever holds all. Waves follow the shuffle that texts come from, so a task writes to few of them.
+    """
+    waves = max(1, -(-spark.read.parquet(f"{sf}/documents.parquet").count() // WAVE))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = (F.pmod(F.hash("video_id"), F.lit(n)) + F.pmod(F.xxhash64("video_id"), F.lit(1000)) / 1000) / n
+    path = _new_path(spark, "waves")
+    with shuffles_dropped(spark):
+        texts.withColumn("wave", F.floor(place * waves).cast("int")).write.option("compression", "zstd").partitionBy("wave").parquet(path)
+    kept, found = spark.read.schema(", ".join(f"{c} {t}" for c, t in [*texts.dtypes, ("wave", "int")])).parquet(path), []
+    for wave in range(waves):
+        files = _new_path(spark, "files")
+        with settings(spark, files__openCostInBytes=str(1 << 14), sources__parallelPartitionDiscovery__parallelism="64"):
+            found.append(freeze(use(kept.where(F.col("wave") == wave).drop("wave"), files), "found"))
+        delete(spark, files)
+    delete(spark, path)
+    return reduce(DataFrame.unionByName, found)
+
+
+_FILE = r"/(-?\d+)\.([^/]+)$"
+
+
+def _json_texts(rows: DataFrame) -> DataFrame:
+    """The text of one JSON file for each video, of (video_id, a): indented, on one line, or a row to a line; every seventeenth is cut short."""
     kind = F.pmod("video_id", F.lit(3))
     text = F.when(kind == 0, F.to_json("a", {"pretty": "true"})).when(kind == 1, F.to_json("a")).otherwise(F.array_join(F.transform("a", lambda x: F.to_json(x)), "\n"))
     cut = F.when(F.pmod("video_id", F.lit(17)) == 3, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text)
-    rows.select("video_id", cut.alias("value")).write.partitionBy("video_id").text(path)
-    return path
+    return rows.select("video_id", F.concat("video_id", F.lit(".json")).alias("name"), cut.alias("value"))
 
 
-def _segment_files(spark: SparkSession, sf: str) -> str:
+def _of_json(read: Callable[[str], DataFrame]) -> Callable[[DataFrame, str], DataFrame]:
+    def use(texts: DataFrame, path: str) -> DataFrame:
+        K.write_files(texts, path)
+        return read(path)
+
+    return use
+
+
+def _segment_texts(spark: SparkSession, sf: str) -> DataFrame:
     row = F.struct("idx", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "en", "zh", "note", F.lit("unknown").alias("extra"))
-    return _written_files(_segments(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("a")), _new_path(spark, "segment_files"))
+    return _json_texts(_segments(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("a")))
 
 
 @register("read_segment_files", f"{X.duck('segments')} SELECT video_id, CAST(idx AS INT) AS idx, {_MS}, en, zh, note FROM segments WHERE video_id%17<>3")
 def read_segment_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _ms(tables.read_segments(spark, _segment_files(spark, sf), strict=False), "idx", "en", "zh", "note")
+    read = lambda path: _ms(tables.read_segments(spark, path, _FILE, strict=False), "idx", "en", "zh", "note")
+    return _in_waves(spark, sf, _segment_texts(spark, sf), _of_json(read))
 
 
 @register("unreadable_files", f"{X.duck()} SELECT DISTINCT video_id FROM cues WHERE video_id%17=3")
 def unreadable_files(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.unreadable_files(spark, _segment_files(spark, sf)).select(F.regexp_extract("path", r"video_id=(\d+)/", 1).cast("long").alias("video_id"))
+    read = lambda path: tables.unreadable_files(spark, path).select(F.regexp_extract("path", _FILE, 1).cast("long").alias("video_id"))
+    return _in_waves(spark, sf, _segment_texts(spark, sf), _of_json(read))
 
 
 @register("read_cue_files", f"{X.duck()} SELECT video_id, cue_no, {_MS}, text FROM cues WHERE video_id%17<>3")
@@ -252,7 +291,8 @@ def read_cue_files(spark: SparkSession, sf: str) -> DataFrame:
     row = F.struct("cue_no", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text")
     rows = X.cues(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("a"))
     nameless = rows.withColumn("a", F.transform("a", lambda x: x.dropFields("cue_no")))
-    return _ms(tables.read_cues(spark, _written_files(nameless, _new_path(spark, "cue_files")), strict=False), "cue_no", "text")
+    read = lambda path: _ms(tables.read_cues(spark, path, _FILE, strict=False), "cue_no", "text")
+    return _in_waves(spark, sf, _json_texts(nameless), _of_json(read))
 
 
 @register("read_url_list", f"WITH l AS ({X.DUCK_URL_LINES}), u AS (SELECT line_no, trim(split_part(trim(line), ' #', 1)) AS url FROM l WHERE trim(line)<>'' AND NOT starts_with(trim(line),'#')) SELECT url, min(line_no) AS line_no FROM u WHERE url<>'' GROUP BY 1")
@@ -276,17 +316,17 @@ _FILES = [("source.en.vtt", "video_id%4=0"), ("source.srt", "video_id%4 IN (0,1)
 _LISTED = "listed AS (" + " UNION ALL ".join(f"SELECT video_id, '{name}' AS name, CAST(sum(strlen(coalesce(text,''))+1) AS BIGINT) AS size_bytes FROM cues WHERE {has} GROUP BY 1" for name, has in _FILES) + ")"
 
 
-def _write_files(rows: DataFrame, path: str, name: str) -> None:
-    lines = rows.select("video_id", F.lit(name).alias("name"), F.coalesce("text", F.lit("")).alias("value"))
-    lines.repartition(rows.sparkSession.sparkContext.defaultParallelism, "video_id").write.mode("append").partitionBy("video_id", "name").text(path)
-
-
 def _listing(spark: SparkSession, sf: str, parts: list[tuple[str, str]]) -> DataFrame:
     """The files of these parts, (name, condition), written one part after the other, then listed by the scan."""
-    rows, path = freeze(X.cues(spark, sf).select("video_id", "text"), "file_lines"), _new_path(spark, "files")
-    for name, has in parts:
-        _write_files(rows.where(has), path, name)
-    return tables.list_files(spark, path, r"/video_id=(\d+)/name=(.+)$").withColumn("video_id", F.col("video_id").cast("long"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "text"))), lambda c: F.concat(F.coalesce(c["text"], F.lit("")), F.lit("\n")))
+    texts = X.cues(spark, sf).groupBy("video_id").agg(F.array_join(lines, "").alias("value"))
+
+    def use(some: DataFrame, path: str) -> DataFrame:
+        for name, has in parts:
+            K.write_files(some.where(has).withColumn("name", F.concat("video_id", F.lit(f".{name}"))), path)
+        return tables.list_files(spark, path, _FILE).withColumn("video_id", F.col("video_id").cast("long"))
+
+    return _in_waves(spark, sf, texts, use)
 
 
 @register("file_listing", f"{X.duck()}, {_LISTED} SELECT * FROM listed")

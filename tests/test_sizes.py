@@ -65,3 +65,19 @@ def test_compaction_reads_no_folder_without_a_last_reply(spark, tmp_path, monkey
     assert stores.compact_replies(spark, path) == 2
     assert len(read) == 1 and "PartitionFilters: []" not in read[0]
     assert {(r["video_id"], r["body"]) for r in stores.read_replies(spark, path).collect()} == {(v, "new") for v in range(200)}
+
+
+@pytest.mark.parametrize("name", ["file_listing", "captions_of_listing", "fresh_artifacts", "read_segment_files", "read_cue_files", "unreadable_files"])
+def test_files_of_few_videos_are_there_at_once(spark, monkeypatch, name):
+    whole = sorted(map(str, queries.QUERIES[name](spark, SMALL).collect()))
+    there, write, put = [], documents.write_files, {}
+
+    def counted(files, path, *more):
+        put[path] = put.get(path, 0) + write(files, path, *more)
+        there.append((path, [p for p in put if checkpoints.exists(spark, p)]))
+        return put[path]
+
+    monkeypatch.setattr(documents, "write_files", counted)
+    monkeypatch.setattr(queries, "WAVE", 40)
+    assert sorted(map(str, queries.QUERIES[name](spark, SMALL).collect())) == whole
+    assert len(put) == 5 and all(alive == [path] for path, alive in there) and not any(checkpoints.exists(spark, p) for p in put)
