@@ -216,11 +216,16 @@ def load_cues(spark: SparkSession, sf: str) -> DataFrame:
     return _ms(captions.load_cues(files), "cue_no", "text")
 
 
+#: Readers of JSON parse each file whole.
+ROWS_PER_FILE = 40_000
+
+
 @register("read_segments", f"{X.duck('segments')} SELECT video_id, CAST(idx AS INT) AS idx, {_MS}, en, zh, note FROM segments")
 def read_segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = _segments(spark, sf).select("video_id", F.to_json(F.struct("video_id", "idx", "start_s", "end_s", "en", "zh", "note")).alias("row"))
     path = _new_path(spark, "segments_json")
-    rows.select("row").write.text(path)
+    with shuffles_dropped(spark):
+        rows.select("row").write.option("maxRecordsPerFile", ROWS_PER_FILE).text(path, compression="gzip")
     return _ms(tables.read_segments(spark, path), "idx", "en", "zh", "note")
 
 

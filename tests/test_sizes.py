@@ -81,3 +81,10 @@ def test_files_of_few_videos_are_there_at_once(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "WAVE", 40)
     assert sorted(map(str, queries.QUERIES[name](spark, SMALL).collect())) == whole
     assert len(put) == 5 and all(alive == [path] for path, alive in there) and not any(checkpoints.exists(spark, p) for p in put)
+
+
+def test_segments_are_written_in_files_that_are_small_enough_to_parse(spark, monkeypatch):
+    monkeypatch.setattr(queries, "ROWS_PER_FILE", 100)
+    files = queries.read_segments(spark, SMALL).inputFiles()
+    rows = fixtures.cues(spark, SMALL).count()
+    assert len(files) >= rows / 100 and max(spark.read.text(f).count() for f in files[:5]) <= 100
